@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("op1_mixing", "op4_simhash", "op8_media")
+MODULES = ("op1_mixing", "op2_quality", "op3_toxicity", "op4_simhash", "op5_packing", "op6_neighbours", "op7_substrings", "op8_media", "op9_licenses", "op10_html")
 
 
 def _merged(name: str) -> dict:
