@@ -1 +1 @@
-"""Query catalogue."""
+"""Settings, pipelines and the query catalogue."""
