@@ -39,7 +39,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 def word_count(text: Column) -> Column:
     """Number of maximal runs of characters other than ASCII white space; null counts 0."""
-    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACES}]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACES}]++")), F.lit(0)).cast("long")
 
 
 def hash_bucket(key: Column, n: int) -> Column:

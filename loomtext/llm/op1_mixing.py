@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import hash_bucket, table, word_count
+from .common import hash_bucket, saved, table, word_count
 
 SALTS = 16
 MOST = 3
@@ -54,7 +54,8 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
     choices come from keys.
     """
     docs = df.withColumn("__size", word_count(F.col(text))).withColumn("__src", F.col(source)).withColumn("__id", F.col(key)).withColumn("__salt", hash_bucket(F.col(key), SALTS)).withColumn("__class", size_class(F.col("__size")))
-    cells = docs.groupBy("__src", "__class", "__salt").agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("__words"))
+    # Written once: all targets and starts come from these counts, so the texts are read for them once only.
+    cells = saved(docs.groupBy("__src", "__class", "__salt").agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("__words")))
     per_class = cells.groupBy("__src", "__class").agg(F.sum("__n").alias("__cn"), F.sum("__words").alias("__cw"))
     targets = source_targets(per_class.groupBy("__src").agg(F.sum("__cw").alias("source_size")), weights)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("__src"), F.lit("\0")))), 1, 5), 16, 10).cast("double") / STEPS
