@@ -96,11 +96,9 @@ def features(text: str, memo: Memo) -> list[float]:
 class Trees:
     """Boosted depth-3 trees on binned features, logistic loss."""
 
-    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 48, least: int = 12, ridge: float = 1.0) -> None:
+    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 48, least: int = 12, ridge: float = 1.0, edges: list[np.ndarray] | None = None, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None, base: float = 0.0) -> None:
         self.rounds, self.depth, self.rate, self.bins, self.least, self.ridge = rounds, depth, rate, bins, least, ridge
-        self.edges: list[np.ndarray] = []
-        self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.base = 0.0
+        self.edges, self.trees, self.base = edges or [], trees or [], base
 
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)], axis=1) if len(x) else np.zeros((0, len(self.edges)), dtype=np.int64)
@@ -177,14 +175,14 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 5) -> dict:
         return {"constant": (y.sum() + 1) / (len(y) + 2)}
     trees = Trees().fit(x[cut:], y[cut:])
     xs, ys = isotonic(trees.raw(x[:cut]), y[:cut])
-    return {"trees": trees, "xs": xs, "ys": ys}
+    return {"trees": vars(trees), "xs": xs, "ys": ys}  # plain values only: a broadcast is unpickled without this package
 
 
 def probability(x: np.ndarray, model: dict) -> np.ndarray:
     """Calibrated probabilities of label 1."""
     if "constant" in model:
         return np.full(len(x), model["constant"])
-    return np.interp(model["trees"].raw(x), model["xs"], model["ys"])
+    return np.interp(Trees(**model["trees"]).raw(x), model["xs"], model["ys"])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, bound: int = SAMPLE, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
