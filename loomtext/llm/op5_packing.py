@@ -28,12 +28,15 @@ SALTS = 64
 #: Words whose ids a worker remembers before it starts afresh.
 MEMO = 400_000
 
-_LOW = [chr(i) for i in range(0x300) if i != 0x130]
+_LOW = [chr(i) for i in range(0x300)]
+#: The few whose lower case lies beyond.
+_OUT = "".join(c for c in _LOW if max(map(ord, c.lower())) >= 0x300)
 _L = "".join(re.escape(c) for c in _LOW if unicodedata.category(c)[0] == "L")
 _N = "".join(re.escape(c) for c in _LOW if unicodedata.category(c)[0] == "N")
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
-#: Texts with anything but these go through the tokenizer whole.
-_ODD = re.compile("[^\\x09-\\x0d\\x20-\\x7e\\xa1-\\u012f\\u0131-\\u02ff]|<\\|")
+_PIECES = re.compile(f"[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_N}]|[^\\s{_L}{_N}]+")
+#: Texts with any of these characters, or with the beginning of a special token, go through the tokenizer whole.
+_ODD = re.compile(f"[\\x00-\\x08\\x0e-\\x1f\\x7f-\\xa0{_OUT}\\u0300-\\U0010ffff]")
+_SPECIAL, _WORD_END = "<|", "</w>"
 
 
 class Encoder:
@@ -41,28 +44,46 @@ class Encoder:
 
     The normalizer (NFC, white space, lower case) and the word split of the vocabulary file act alike on
     every text of characters below U+0300 (without controls and special tokens), so such a text's ids are
-    those of its words in turn; any other text is encoded whole.
+    those of its words in turn; any other text is encoded whole. The words of a text that are not yet known
+    are encoded together, and their ids told apart by the vocabulary's word ends.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        tokenizer = self.tokenizer
-
-        class Memo(dict):
-            def __missing__(self, word: str) -> bytes:
-                if len(self) > MEMO:
-                    self.clear()
-                out = self[word] = packed(tokenizer.encode(word, add_special_tokens=False).ids)
-                return out
-
-        self.memo = Memo()
+        # For words that are split and normalized already.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
+        self.memo: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if _ODD.search(text) or _SPECIAL in text:
             return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.memo.__getitem__, _PIECES.findall(text.lower())))
+        words = _PIECES.findall(text.lower())
+        try:
+            return b"".join(map(self.memo.__getitem__, words))
+        except KeyError:
+            self.learn(words)
+            return b"".join(map(self.memo.__getitem__, words))
+
+    def learn(self, words: list[str]) -> None:
+        """Puts the words in memory; if it holds too many, it is emptied first."""
+        memo = self.memo
+        if len(memo) > MEMO:
+            memo.clear()
+        fresh = list(set(words).difference(memo))
+        ids = self.words.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stops) != len(fresh) or stops[-1] != 4 * len(ids):
+            raise ValueError("the vocabulary does not mark the ends of words")
+        raw, start = packed(ids), 0
+        for w, stop in zip(fresh, stops.tolist(), strict=True):
+            memo[w] = raw[start:stop]
+            start = stop
 
 
 def packed(ids: list[int]) -> bytes:
