@@ -6,8 +6,8 @@ some band with probability 1 - (1 - 0.8**3)**8 > 0.996. Colliding lines are gath
 compared by exact Jaccard of their shingle sets, and removals are clustered by connected components.
 
 A passage set into different lines makes no similar lines. So texts are also cut in content-defined
-paragraphs, at the local minima of a hash of two words, which fall alike wherever a passage stands;
-equal ones are repeats, and a run of them counts from RUN words on. A passage of over 50 words holds such a
+paragraphs, at the local minima of a hash of two words, which fall alike wherever a passage stands (a run of equal
+minima is cut at even steps); equal ones are repeats, and a run of them counts from RUN words on. A passage of over 50 words holds such a
 run. (Similarity of such short pieces at 0.8 is equality, or nearly, so they need no banding.)
 
 In each cluster that is on several documents the document with the smallest key hash keeps its places; the
@@ -27,7 +27,7 @@ from .common import Forest, components, saved, table
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, BAND_ROWS = 8, 3
-LINE, REACH, RUN = 10, 5, 20
+LINE, REACH, RUN = 10, 5, 16
 TILE = 512
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 20
@@ -115,12 +115,24 @@ def cuts(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     empty = np.zeros(0, dtype=np.int64)
     if n < 2 * REACH + 2:
         return empty, empty, empty
-    g = mix(w.hash[:-1] * _BASE + w.hash[1:])
-    low = g.copy()
-    padded = np.concatenate([np.full(REACH, np.iinfo(np.uint64).max, dtype=np.uint64), g, np.full(REACH, np.iinfo(np.uint64).max, dtype=np.uint64)])
-    for d in range(2 * REACH + 1):
-        np.minimum(low, padded[d : d + len(g)], out=low)
-    at = np.nonzero(g == low)[0]
+    # Texts are REACH places apart, so that no window reaches from one into the next.
+    place = np.arange(n - 1) + (w.text[:-1] + 1) * REACH
+    most = np.iinfo(np.uint64).max
+    g = np.where(w.text[1:] == w.text[:-1], mix(w.hash[:-1] * _BASE + w.hash[1:]), most)
+    spread = np.full(n + (int(w.text[-1]) + 2) * REACH, most, dtype=np.uint64)
+    spread[place] = g
+    low = spread.copy()
+    for d in range(1, REACH + 1):
+        np.minimum(low[d:], spread[:-d], out=low[d:])
+        np.minimum(low[:-d], spread[d:], out=low[:-d])
+    at = np.nonzero((g == low[place]) & (g != most))[0]
+    # Equal minima (words repeated over and over) are cut from the left at more than REACH words.
+    keep, last, before = np.ones(len(at), dtype=bool), 0, -1
+    for i in (np.nonzero((np.diff(at) <= REACH) & (w.text[at[1:]] == w.text[at[:-1]]))[0] + 1).tolist():
+        last = last if i - 1 == before else at[i - 1]
+        keep[i], before = at[i] - last > REACH, i
+        last = at[i] if keep[i] else last
+    at = at[keep]
     a, b = at[:-1], at[1:]
     same = (w.text[a] == w.text[b]) & (b - a > REACH)
     a, b = a[same], b[same]
