@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 
 PAGES, RUN, RUN_PAGES, COVERED = 64, 6, 3, 0.7
+#: Up to so many hosts of more than PAGES pages are broadcast (name and count, some MB); more are joined by shuffle.
+MOST_HOT = 50_000
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))", re.S)
 _RAW = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in ("script", "style", "textarea", "xmp", "iframe", "noembed", "noframes", "title")}
@@ -177,26 +179,29 @@ def main_texts(pages: list[list[tuple[str, bool]]]) -> list[str]:
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", pages: int = PAGES) -> DataFrame:
     """(key, url, text, n_chars) of every page.
 
-    The pages of a host are dealt by hash in groups of about ``pages``, so a hot host is many groups. Null html
+    The pages of a host are dealt by hash in groups of about ``pages``, so a hot host is many groups, and no task
+    holds more of it than one group at a time. Only hosts of more than ``pages`` pages need their count. Null html
     is empty and gives an empty text; a null or odd url has the empty host; repeated rows count as one page for
     boilerplate and each gives its own row; an empty table gives an empty result.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    rows = df.select(F.col(key).alias("__key"), F.col(url).alias("__url"), host.alias("__host"), F.col(html).cast("string").alias("__html"))
+    rows = df.select(F.col(key).alias("__key"), F.col(url).alias("__url"), host.alias("__host"), F.col(html).cast("string").alias("__html"), F.xxhash64(key, url, html).alias("__deal"))
 
     def parse(batches):
         for batch in batches:
             found = [blocks(h) for h in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array([[t for t, _ in p] for p in found], pa.list_(pa.string())), pa.array([[m for _, m in p] for p in found], pa.list_(pa.bool_()))],
-                names=["__key", "__url", "__host", "__texts", "__main"],
+                [batch.column(0), batch.column(1), batch.column(2), batch.column(4), pa.array([[t for t, _ in p] for p in found], pa.list_(pa.string())), pa.array([[m for _, m in p] for p in found], pa.list_(pa.bool_()))],
+                names=["__key", "__url", "__host", "__deal", "__texts", "__main"],
             )
 
-    sizes = df.select(host.alias("__host")).groupBy("__host").agg(F.count(F.lit(1)).alias("__n"))
-    parsed = rows.mapInArrow(parse, f"__key {kinds[key]}, __url {kinds[url]}, __host string, __texts array<string>, __main array<boolean>")
-    shard = F.pmod(F.xxhash64("__key", "__url"), F.ceil(F.col("__n") / pages).cast("long"))
-    dealt = parsed.join(sizes, "__host").withColumn("__shard", shard).select("__host", "__shard", "__key", "__url", "__texts", "__main")
+    hot = saved(df.select(host.alias("__host")).groupBy("__host").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > pages))
+    parsed = rows.mapInArrow(parse, f"__key {kinds[key]}, __url {kinds[url]}, __host string, __deal long, __texts array<string>, __main array<boolean>")
+    counted = parsed.join(F.broadcast(hot) if hot.count() <= MOST_HOT else hot, "__host", "left")
+    shard = F.coalesce(F.pmod("__deal", F.ceil(F.col("__n") / pages).cast("long")), F.lit(0))
+    # Dealt by host and shard together: grouping alone would be content with a partitioning by host.
+    dealt = counted.select("__host", shard.alias("__shard"), "__key", "__url", "__texts", "__main").repartition("__host", "__shard")
 
     def group(t: pa.Table) -> pa.Table:
         pages_ = [list(zip(a, b, strict=True)) for a, b in zip(t.column("__texts").to_pylist(), t.column("__main").to_pylist(), strict=True)]
