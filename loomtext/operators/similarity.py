@@ -43,8 +43,8 @@ def tfidf_top_n(items: DataFrame, queries: DataFrame, key: str, query_key: str,
     vocab = vocabulary(items, key, text, size, min_df, longest).persist()
     docs = items.agg(F.count(F.lit(1)).alias("__docs"))
     own = weighed(term_counts(items, key, text, vocab, longest).crossJoin(F.broadcast(docs)), key, F.col("__docs"))
-    asked = weighed(term_counts(queries, query_key, text, vocab, longest).crossJoin(F.broadcast(docs)), query_key, F.col("__docs")).select(query_key, "term", F.col("tfidf").alias("q"))
-    scored = own.join(asked, "term").groupBy(query_key, key).agg(F.round(F.sum(F.col("tfidf") * F.col("q")), digits).alias("sim_score"))
+    asked = weighed(term_counts(queries, query_key, text, vocab, longest).crossJoin(F.broadcast(docs)), query_key, F.col("__docs")).select(query_key, "term", F.col("tfidf").alias("__q"))
+    scored = own.join(asked, "term").groupBy(query_key, key).agg(F.round(F.sum(F.col("tfidf") * F.col("__q")), digits).alias("sim_score"))
     return ranked(scored, query_key, "sim_score", key, n).select(query_key, "rank", key, "sim_score")
 
 
