@@ -45,7 +45,7 @@ def word_count(text: Column) -> Column:
 def hash_bucket(key: Column, n: int) -> Column:
     """A bucket from 0 to n - 1 (n at most 65536) from an md5 prefix; null has a bucket of its own kind."""
     digest = F.md5(F.coalesce(key.cast("string"), F.lit("null")))
-    return F.conv(F.substring(digest, 1, 4), 16, 10).cast("long") % F.lit(n)
+    return F.coalesce(F.conv(F.substring(digest, 1, 4), 16, 10).cast("long") % F.lit(n), F.lit(0))
 
 
 def ranks(df: DataFrame, keys: list[str], salt: str, order: list[str], name: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import hash_bucket, saved, table, word_count
 
-SALTS = 16
+SALTS = 64
 MOST = 3
 STEPS = 1 << 20
 
@@ -23,7 +23,8 @@ def size_class(size: Column) -> Column:
     """16 * bit length + the next three bits of ``size``: integers only, so every engine agrees."""
     top = F.length(F.bin(size)).cast("long")
     unit = F.expr("shiftleft(1L, length(bin(__size)) - 1)")
-    return top * 16 + F.floor(size * 8 / unit).cast("long")
+    # Never null, or else joins on it put the whole expression in a null filter below and count words twice.
+    return F.coalesce(top * 16 + F.floor(size * 8 / unit).cast("long"), F.lit(0).cast("long"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
@@ -108,7 +109,7 @@ WITH d AS (
     CAST(('0x' || substr(md5('mix:' || coalesce(d.source, chr(0))), 1, 5)) AS BIGINT) / 1048576.0::DOUBLE AS u,
     row_number() OVER (PARTITION BY d.source ORDER BY
       length(bin(d.size)) * 16 + CAST(floor(d.size * 8 / (1::BIGINT << (length(bin(d.size)) - 1))) AS BIGINT),
-      CAST(('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 4)) AS BIGINT) % 16, d.size, d.doc_id) AS k
+      CAST(('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 4)) AS BIGINT) % 64, d.size, d.doc_id) AS k
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, CAST(size * least(floor(rate * k + u) - floor(rate * (k - 1) + u), 3) AS BIGINT) AS taken FROM r
