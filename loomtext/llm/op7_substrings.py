@@ -169,6 +169,11 @@ def _packed(w: Words, a: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (w.start[a] << np.int64(32)) | w.end[a + n - 1]
 
 
+def _counted(w: Words, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Number of the first word in its text and word count as one long."""
+    return ((a - np.searchsorted(w.text, w.text[a])) << np.int64(32)) | n
+
+
 def line_bands(rows: DataFrame) -> DataFrame:
     """(band, line): distinct within a chunk, so that a common line is shuffled but once per chunk."""
 
@@ -280,11 +285,11 @@ def passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     def line_places(ids: np.ndarray, w: Words) -> dict:
         at, n, h = lines(w)
-        return {"__row": ids[w.text[at]], "at": _packed(w, at, n), "words": n, "cluster": h}
+        return {"__row": ids[w.text[at]], "at": _packed(w, at, n), "words": _counted(w, at, n), "cluster": h}
 
     def cut_places(ids: np.ndarray, w: Words) -> dict:
         a, n, h = cuts(w)
-        return {"__row": ids[w.text[a]], "at": _packed(w, a, n), "words": n, "cluster": h}
+        return {"__row": ids[w.text[a]], "at": _packed(w, a, n), "words": _counted(w, a, n), "cluster": h}
 
     schema = "__row long, at long, words long, cluster long"
     near = line_clusters(rows).withColumnRenamed("line", "__line").withColumnRenamed("cluster", "__cluster")
@@ -304,14 +309,14 @@ def passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                     now: list | None = None
                     for x in [x for x in p if x["gone"] == gone]:
                         a, b = x["at"] >> 32, x["at"] & 0xFFFFFFFF
-                        if now and a <= now[2] + 2:
-                            # Words of an overlap count once, in proportion to the bytes that are new.
-                            new = max(0, b - max(a, now[2])) / max(1, b - a)
-                            now[2], now[3], now[6] = max(now[2], b), now[3] + round(x["words"] * new), now[6] or x["line"]
+                        first, n = x["words"] >> 32, x["words"] & 0xFFFFFFFF
+                        if now and first <= now[7] + now[3]:
+                            # Neighbours by word number, whatever white space is between; words of an overlap count once.
+                            now[2], now[3], now[6] = max(now[2], b), max(now[3], first + n - now[7]), now[6] or x["line"]
                             continue
                         if now and (now[6] or now[3] >= RUN):
                             out.append((*now[:6], gone))
-                        now = [row, a, b, x["words"], x["cluster"], x["keeper"], x["line"]]
+                        now = [row, a, b, n, x["cluster"], x["keeper"], x["line"], first]
                     if now and (now[6] or now[3] >= RUN):
                         out.append((*now[:6], gone))
             yield pa.RecordBatch.from_pydict({n: pa.array([o[i] for o in out], pa.bool_() if n == "removed" else pa.int64()) for i, n in enumerate(names)})

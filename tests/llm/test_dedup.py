@@ -189,3 +189,14 @@ def test_substring_edges(spark):
     assert o7.passages(spark.createDataFrame([], DOCS)).count() == 0 and o7.without_repeats(spark.createDataFrame([], DOCS)).count() == 0
     spans = o7.passages(df).collect()
     assert all(x.start < x.end and x.n_words >= o7.LINE for x in spans)
+
+
+@pytest.mark.parametrize("gap", [" ", "   ", "\r\n\r\n", "\n \t  "])
+def test_pieces_are_joined_over_white_space_of_any_length(spark, gap):
+    passage = words(60, 999, 10**6)
+    rows = [(i, gap.join([*words(40, i, 10**6), *passage, *words(40, 50 + i, 10**6)])) for i in range(2)]
+    found = o7.passages(documents(spark, rows)).collect()
+    assert sorted(x.removed for x in found) == [False, True]
+    for x in found:
+        cut = [t.encode()[x.start : x.end].decode().split() for _, t in rows]
+        assert any(len(c) == x.n_words >= 30 and " ".join(c) in " ".join(passage) for c in cut)
