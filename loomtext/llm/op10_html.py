@@ -18,6 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,8 +129,24 @@ def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return order, rank
 
 
-def covered(streams: list[np.ndarray], run: int = RUN, pages: int = RUN_PAGES) -> list[np.ndarray]:
-    """Which tokens of each stream lie in a substring of ``run`` tokens that is on ``pages`` distinct streams."""
+def windows(tokens: list[str], run: int = RUN) -> np.ndarray:
+    """The hash of the ``run`` tokens from each token on, as far as there are as many."""
+    n = max(0, len(tokens) - run + 1)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    h = np.fromiter((xxhash.xxh64_intdigest(t.encode(), 7) for t in tokens), dtype=np.uint64, count=len(tokens))
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(run):
+        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def covered(streams: list[np.ndarray], run: int = RUN, pages: int = RUN_PAGES, known: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """Which tokens of each stream lie in a substring of ``run`` tokens that is on ``pages`` distinct streams.
+
+    Substrings that start where ``known`` (per stream, of its length) is true count as well.
+    """
     if not streams:
         return []
     # A separator of its own ends each stream, so no substring crosses two.
@@ -146,7 +163,8 @@ def covered(streams: list[np.ndarray], run: int = RUN, pages: int = RUN_PAGES) -
     cls = np.cumsum(new) - 1
     who = np.unique(cls * len(streams) + owner[order])
     many = np.bincount(who // len(streams), minlength=cls[-1] + 1) >= pages
-    starts = order[many[cls] & fits]
+    told = np.concatenate([np.append(x, False) for x in known])[order] if known else np.zeros(n, dtype=bool)
+    starts = order[(many[cls] | told) & fits]
     delta = np.zeros(n + 1, dtype=np.int64)
     np.add.at(delta, starts, 1)
     np.add.at(delta, np.minimum(starts + run, n), -1)
@@ -155,14 +173,23 @@ def covered(streams: list[np.ndarray], run: int = RUN, pages: int = RUN_PAGES) -
     return [cover[a : b - 1] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def main_texts(pages: list[list[tuple[str, bool]]]) -> list[str]:
-    """The main text of each of some pages of one host (as ``blocks`` gives them)."""
+def main_texts(pages: list[list[tuple[str, bool]]], known: np.ndarray | None = None) -> list[str]:
+    """The main text of each of some pages of one host (as ``blocks`` gives them).
+
+    ``known`` has the hashes of windows that are on RUN_PAGES pages of the host, here or elsewhere.
+    """
     ids: dict[str, int] = {}
     streams = [np.fromiter((ids.setdefault(t, len(ids)) for text, _ in p for t in text.split()), dtype=np.int64) for p in pages]
     first: dict[bytes, int] = {}
     same = [first.setdefault(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), i) for i, x in enumerate(streams)]
     distinct = sorted(set(same))
-    cover = dict(zip(distinct, covered([streams[i] for i in distinct]), strict=True))
+    told = None
+    if known is not None and len(known):
+        told = [np.zeros(len(streams[i]), dtype=bool) for i in distinct]
+        for x, i in zip(told, distinct, strict=True):
+            found = np.isin(windows([t for text, _ in pages[i] for t in text.split()]), known)
+            x[: len(found)] = found
+    cover = dict(zip(distinct, covered([streams[i] for i in distinct], known=told), strict=True))
     out = []
     for p, i in zip(pages, same, strict=True):
         has_main, at, kept = any(m for _, m in p), 0, []
@@ -176,11 +203,36 @@ def main_texts(pages: list[list[tuple[str, bool]]]) -> list[str]:
     return out
 
 
+def _host_windows(parsed: DataFrame, hot: DataFrame, pages: int) -> DataFrame:
+    """(__host, __shard, __window): for each group of a hot host its windows that are on RUN_PAGES distinct pages of the host."""
+    bare = parsed.join(hot, "__host", "left_semi").where(~F.exists("__main", lambda m: m)).where(F.size("__texts") > 0)
+    asked = saved(hot.join(bare.select("__host").distinct(), "__host", "left_semi"))
+    if asked.isEmpty():
+        return asked.select("__host", F.lit(0).cast("long").alias("__shard"), F.lit(0).cast("long").alias("__window")).limit(0)
+
+    def one(batches):
+        for batch in batches:
+            tokens = [[t for x in p for t in x.split()] for p in batch.column(2).to_pylist()]
+            stream = [xxhash.xxh64_intdigest("\n".join(t).encode(), 9) - (1 << 63) for t in tokens]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(stream, pa.int64()), pa.array([np.unique(windows(t)) for t in tokens], pa.list_(pa.int64()))], names=["__host", "__shard", "__stream", "__windows"])
+
+    rows = parsed.join(asked, "__host").select("__host", F.pmod("__deal", F.ceil(F.col("__n") / pages).cast("long")).alias("__shard"), "__texts")
+    found = rows.mapInArrow(one, "__host string, __shard long, __stream long, __windows array<long>")
+    each = saved(found.dropDuplicates(["__host", "__shard", "__stream"]))
+    # Equal pages count once, in whatever groups they are.
+    once = each.dropDuplicates(["__host", "__stream"]).select("__host", F.explode("__windows").alias("__window"))
+    often = once.groupBy("__host", "__window").agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") >= RUN_PAGES).select("__host", "__window")
+    own = each.select("__host", "__shard", F.explode("__windows").alias("__window")).distinct()
+    return own.join(often, ["__host", "__window"]).select("__host", "__shard", "__window")
+
+
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", pages: int = PAGES) -> DataFrame:
     """(key, url, text, n_chars) of every page.
 
     The pages of a host are dealt by hash in groups of about ``pages``, so a hot host is many groups, and no task
-    holds more of it than one group at a time. Only hosts of more than ``pages`` pages need their count. Null html
+    holds more of it than one group at a time. Only hosts of more than ``pages`` pages need their count. Where such a
+    host has a page without an article, the windows of RUN tokens on its pages are counted over the whole host,
+    and each group is told those on RUN_PAGES distinct pages; elsewhere the structure alone decides. Null html
     is empty and gives an empty text; a null or odd url has the empty host; repeated rows count as one page for
     boilerplate and each gives its own row; an empty table gives an empty result.
     """
@@ -197,18 +249,22 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "
             )
 
     hot = saved(df.select(host.alias("__host")).groupBy("__host").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > pages))
-    parsed = rows.mapInArrow(parse, f"__key {kinds[key]}, __url {kinds[url]}, __host string, __deal long, __texts array<string>, __main array<boolean>")
-    counted = parsed.join(F.broadcast(hot) if hot.count() <= MOST_HOT else hot, "__host", "left")
+    schema = f"__key {kinds[key]}, __url {kinds[url]}, __host string, __deal long, __texts array<string>, __main array<boolean>"
+    parsed, few = rows.mapInArrow(parse, schema), hot.count() <= MOST_HOT
+    counted = parsed.join(F.broadcast(hot) if few else hot, "__host", "left")
+    # Pages of other hosts are not parsed twice.
+    of_hot = rows.join(F.broadcast(hot), "__host", "left_semi").select(*rows.columns).mapInArrow(parse, schema) if few else parsed
     shard = F.coalesce(F.pmod("__deal", F.ceil(F.col("__n") / pages).cast("long")), F.lit(0))
     # Dealt by host and shard together: grouping alone would be content with a partitioning by host.
     dealt = counted.select("__host", shard.alias("__shard"), "__key", "__url", "__texts", "__main").repartition("__host", "__shard")
 
-    def group(t: pa.Table) -> pa.Table:
+    def group(at: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
         pages_ = [list(zip(a, b, strict=True)) for a, b in zip(t.column("__texts").to_pylist(), t.column("__main").to_pylist(), strict=True)]
-        texts = main_texts(pages_)
+        texts = main_texts(pages_, told.column("__window").to_numpy())
         return pa.table({"__key": t.column("__key"), "__url": t.column("__url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
 
-    done = dealt.groupBy("__host", "__shard").applyInArrow(group, f"__key {kinds[key]}, __url {kinds[url]}, text string, n_chars long")
+    known = _host_windows(of_hot, hot, pages)
+    done = dealt.groupBy("__host", "__shard").cogroup(known.groupBy("__host", "__shard")).applyInArrow(group, f"__key {kinds[key]}, __url {kinds[url]}, text string, n_chars long")
     return done.select(F.col("__key").alias(key), F.col("__url").alias(url), "text", "n_chars")
 
 

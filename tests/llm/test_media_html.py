@@ -120,3 +120,14 @@ def test_suffix_array():
 def test_very_long_pages_take_linear_time():
     assert len(o10.blocks("<p>x" * 100_000)) == 100_000
     o10.blocks("<div " * 50_000), o10.blocks("<!-- " * 50_000), o10.blocks("<a href='" * 50_000)
+
+
+def test_a_block_on_few_pages_of_a_hot_host_goes_from_all_of_them(spark):
+    menu = " ".join(words(12, 5))
+    bodies = [" ".join(words(40, 100 + i, 10**6)) for i in range(640)]
+    pages = [(f"http://hot.example/{i}", f"<div>{menu}</div><div>{b}</div>" if i % 50 == 0 else f"<div>{b}</div>") for i, b in enumerate(bodies)]
+    twice = " ".join(words(12, 6))
+    # On two distinct pages only, one of them repeated: stays.
+    pages += [("http://hot.example/a", f"<div>{twice}</div><div>own</div>")] * 3 + [("http://hot.example/b", f"<div>{twice}</div><div>other</div>")]
+    got = texts_of(spark, pages)
+    assert got[:640] == bodies and got[640:] == [f"{twice}\n\nown"] * 3 + [f"{twice}\n\nother"]
