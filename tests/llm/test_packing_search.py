@@ -128,19 +128,57 @@ def test_recall_and_scores_on_the_tables(spark, sf, table):
     assert recall >= 0.95
 
 
-def test_recall_without_clusters_over_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(o6, "BLOCK", 400)
-    monkeypatch.setattr(o6, "QUERIES_A_BLOCK", 30)
-    x = np.random.default_rng(1).normal(size=(2000, 32)).astype(np.float32)
-    x *= np.random.default_rng(2).uniform(0.5, 2, (2000, 1)).astype(np.float32)
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_recall_over_several_units_splits_and_groups(spark, monkeypatch, clusters):
+    monkeypatch.setattr(o6, "LEAST_ROWS", 50)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 32)) if not clusters else rng.normal(size=(clusters, 32))[rng.integers(0, clusters, 2000)] + 0.3 * rng.normal(size=(2000, 32))
+    x = (x * np.random.default_rng(2).uniform(0.5, 2, (2000, 1))).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     want, got = exact(rows, range(0, 2000, 20), 20), defaultdict(set)
-    for r in o6.nearest(df, F.col("vec_id") % 20 == 0).collect():
+    for r in o6.nearest(df, F.col("vec_id") % 20 == 0, unit=60, group=40).collect():
         got[r.query_id].add(r.vec_id)
+    assert all(len(got[q]) == 20 for q in want)
     assert np.mean([len(got[q] & {k for k, _ in want[q]}) / 20 for q in want]) >= 0.9
 
 
+def test_clustered_queries_are_routed_to_few_units(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(100, 32))[rng.integers(0, 100, 4000)] + 0.2 * rng.normal(size=(4000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").withColumn("q", F.col("id") % 20 == 0).withColumn("d", F.lit(32))
+    plan = o6._plans(df, o6.PIVOTS, o6.PREFIX, o6.SAMPLE, o6.SHARE, 20, o6.UNIT)
+    o6._probed(df, plan, 20, o6.PROBES, o6.REACHED)
+    assert plan[32]["visits"] <= plan[32]["units"] // 2
+
+
+def test_footrule_from_the_files_is_the_footrule_of_the_prefixes():
+    rng = np.random.default_rng(4)
+    x, pivots, prefix = rng.normal(size=(30, 8)), o6.farthest_first(rng.normal(size=(40, 8)), 20), 6
+    file, own = o6.files(x, pivots, prefix), o6.places(x, pivots, prefix)
+    for order in own:
+        near = o6.likeness(file, order, prefix)
+        for j, other in enumerate(own):
+            at, to = ({int(p): i for i, p in enumerate(o)} for o in (order, other))
+            distance = sum(abs(at.get(p, prefix) - to.get(p, prefix)) for p in {*at, *to})
+            assert distance == prefix * (prefix + 1) - 2 * near[j]
+
+
+def test_lengths_are_searched_apart_and_one_odd_vector_takes_nothing_from_the_others(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(300, 8)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [(0, rows[0][1][:5]), *rows[1:]]
+    monkeypatch.setattr(o6, "MOST_LENGTHS", 1)
+    both = [*odd, *[(1000 + i, v[:3]) for i, (_, v) in enumerate(rows[:30])]]
+    got = defaultdict(list)
+    for r in o6.nearest(spark.createDataFrame(both, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=5, share=1.0, reached=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert 0 not in got  # no other vector has its length
+    assert set(got) == {*range(20, 300, 20), 1000, 1020}
+    want = exact(rows[1:], range(20, 300, 20), 5) | exact([(k, v) for k, v in both if k >= 1000], (1000, 1020), 5)
+    assert all(got[q] == [k for k, _ in want[q]] for q in got)
+
+
 def test_search_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0, 0.0]), (9, [1.0, 0.0]), (None, [1.0, 1.0]), (20, [-1.0, 0.0]), (40, None)]
