@@ -76,12 +76,22 @@ def map_arrow(df: DataFrame, columns: list[str], schema: str, fn: Callable[...,
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def dealt_anew(key: str) -> Column:
+    """The long ``key`` as a value that the planner does not know to be grouped by already.
+
+    A join of rows with sums over the same key would else reuse the grouping's partitioning, and a join whose side is
+    not a plain exchange is never split where a key is hot.
+    """
+    return F.bitwise_not(F.bitwise_not(F.col(key)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components: (``node``, ``root``) for every node that has an edge; root is the smallest node reached.
 
     ``edges`` has long columns ``a`` and ``b``. Alternating large-star and small-star rounds; each
     round is aggregated before it is shuffled and is checkpointed, nothing is collected but a count
-    and a checksum. Self edges and repeats are harmless; an empty table gives an empty result.
+    and a checksum. The sums of a node meet its edges through an exchange of their own, so that the engine can
+    split the join where a node is hot. Self edges and repeats are harmless; an empty table gives an empty result.
     """
     e = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
@@ -91,9 +101,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(dealt_anew("u").alias("c"), F.least("u", "m").alias("m"))
         large = both.join(low, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(dealt_anew("u").alias("c"), "m")
         small = large.join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = saved(small.union(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())

@@ -2,13 +2,14 @@
 
 Paragraphs are the lines of a text (at least LINE words). Equal lines are one; the MinHash of a line's
 five-word shingles is cut in BANDS bands of BAND_ROWS, tuned so that a Jaccard similarity of 0.8 collides in
-some band with probability 1 - (1 - 0.8**3)**8 > 0.996. Colliding lines are gathered, every two of them are
-compared by exact Jaccard of their shingle sets, and removals are clustered by connected components.
+some band with probability 1 - (1 - 0.8**3)**8 > 0.996. Colliding lines are compared by exact Jaccard of their
+shingle sets (``banding``), and removals are clustered by connected components.
 
 A passage set into different lines makes no similar lines. So texts are also cut in content-defined
 paragraphs, at the local minima of a hash of two words, which fall alike wherever a passage stands (a run of equal
 minima is cut at even steps); equal ones are repeats, and a run of them counts from RUN words on. A passage of over 50 words holds such a
-run. (Similarity of such short pieces at 0.8 is equality, or nearly, so they need no banding.)
+run. (Similarity of such short pieces at 0.8 is equality, or nearly, so they need no banding.) Equality is of two
+independent hashes, 96 bits in all.
 
 In each cluster that is on several documents the document with the smallest key hash keeps its places; the
 others lose theirs. Documents are known by ``__row``, a hash of key and text.
@@ -23,17 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, components, saved, table
+from .banding import gathered, links
+from .common import components, dealt_anew, saved, table
 
-SHINGLE, SIMILAR = 5, 0.8
+SHINGLE = 5
 BANDS, BAND_ROWS = 8, 3
-LINE, REACH, RUN = 10, 5, 16
-TILE = 512
+#: Lines of fewer words repeat in clean documents (headings, notices); what repeats of them in longer passages is found as a run.
+LINE, REACH, RUN = 25, 5, 16
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_OTHER = np.uint64(0xD1342543DE82EF95)
+_OTHER_INVERSE = np.uint64(pow(int(_OTHER), -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -70,6 +74,17 @@ class Words:
         self.start, self.end = start - first[self.text], end - first[self.text]
 
 
+def proofs(w: Words, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A second hash, of 32 bits, of the ``n`` words from each place ``a``."""
+    if not len(a):
+        return np.zeros(0, dtype=np.int32)
+    h = mix(w.hash ^ _BASE)
+    powers = np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.uint64), np.full(len(h) - 1, _OTHER, dtype=np.uint64)]))
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * powers)])
+    back = np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.uint64), np.full(len(h) - 1, _OTHER_INVERSE, dtype=np.uint64)]))
+    return (mix((sums[a + n] - sums[a]) * back[a]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def lines(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, word count and hash of every line of at least LINE words."""
     if not len(w.hash):
@@ -187,91 +202,29 @@ def line_bands(rows: DataFrame) -> DataFrame:
     return _scan(rows, "band long, line long", one)
 
 
-def gathered(pairs: DataFrame) -> DataFrame:
-    """Star edges (a, b) among the distinct lines that share a band: each to the smallest of its band."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band = head = last = None
-        for batch in batches:
-            k, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(k):
-                continue
-            new = np.concatenate([[k[0] != band], k[1:] != k[:-1]])
-            where = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-            heads = np.where(where >= 0, v[np.maximum(where, 0)], v[0] if head is None else head)
-            fresh = np.concatenate([[new[0] or v[0] != last], (v[1:] != v[:-1]) | new[1:]]) & (heads != v)
-            band, head, last = k[-1], heads[-1], v[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(v[fresh]), pa.array(heads[fresh])], names=["a", "b"])
-
-    return pairs.repartition("band").sortWithinPartitions("band", "line").mapInArrow(run, "a long, b long").distinct()
-
-
-def similar(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the links among some lines whose shingle sets have a Jaccard similarity of SIMILAR or more."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    ids, sets = ids[order], [sets[i] for i in order]
-    size = np.array([len(s) for s in sets])
-    forest = Forest(len(ids))
-    owner = np.repeat(np.arange(len(ids)), size)
-    values = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, dtype=np.int64)
-    by = np.argsort(values, kind="stable")
-    edges = np.searchsorted(values[by], np.arange(values.max() + 2 if len(values) else 1))
-    posts, starts = owner[by], np.concatenate([[0], np.cumsum(size)])
-    for i in range(len(ids)):
-        own = values[starts[i] : starts[i + 1]]
-        hit = np.concatenate([posts[edges[x] : edges[x + 1]] for x in own]) if len(own) else np.zeros(0, dtype=np.int64)
-        both = np.bincount(hit[hit < i], minlength=1)
-        js = np.nonzero(both)[0]
-        for j in js[both[js] >= SIMILAR * (size[i] + size[js] - both[js]) - 1e-9]:
-            forest.join(i, int(j))
-    roots = forest.roots()
-    return [(int(ids[i]), int(ids[r])) for i, r in enumerate(roots) if i != r]
-
-
 def line_clusters(rows: DataFrame) -> DataFrame:
     """(line, cluster) of the lines that are similar to another line."""
-    coarse = components(gathered(line_bands(rows))).withColumnRenamed("node", "line")
-    sizes = coarse.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    coarse = saved(coarse.join(sizes, "root"))
+    star = saved(gathered(line_bands(rows)))
 
     def one(ids: np.ndarray, w: Words) -> dict:
         at, n, h = lines(w)
         _, own = np.unique(h, return_index=True)
         values, edges = shingles(w, at[own], n[own])
-        sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer((edges * 4).astype(np.int64)), pa.py_buffer((values >> np.uint64(32)).astype(np.uint32))])
-        return {"line": h[own], "set": sets.cast(pa.binary())}
+        sets = [np.unique((values[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return {"node": h[own], "set": pa.array(sets, pa.binary())}
 
-    sets = _scan(rows, "line long, set binary", one).join(coarse, "line").dropDuplicates(["line"])
-    parts = sets.withColumn("p", F.ceil(F.col("n") / TILE).cast("long")).withColumn("own", F.pmod(F.xxhash64("line"), F.col("p")))
-    units = parts.withColumn("o", F.explode(F.expr("sequence(0L, p - 1)"))).select("root", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), "line", "set")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[int, np.ndarray]] = []
-        key = None
-
-        def done() -> list[tuple[int, int]]:
-            return similar(np.array([k for k, _ in kept]), [s for _, s in kept]) if len(kept) > 1 else []
-
-        for batch in batches:
-            links: list[tuple[int, int]] = []
-            for *at, line, data in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                if at != key:
-                    links += done()
-                    kept.clear()
-                    key = at
-                kept.append((line, np.unique(np.frombuffer(data, dtype=np.uint32))))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
-        links = done()
-        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
-
-    linked = units.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(run, "a long, b long")
-    return components(linked).select(F.col("node").alias("line"), F.col("root").alias("cluster"))
+    asked = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
+    sets = saved(_scan(rows, "node long, set binary", one).join(asked, "node", "left_semi").dropDuplicates(["node"]))
+    return components(links(star, sets, np.uint32)).select(F.col("node").alias("line"), F.col("root").alias("cluster"))
 
 
 def _repeated(places: DataFrame) -> DataFrame:
-    """(__row, at, words, line, cluster, keeper) of the places whose cluster is in several documents."""
-    shared = places.groupBy("cluster").agg(F.min("__row").alias("keeper"), F.max("__row").alias("__last")).where("keeper <> __last").drop("__last")
-    return places.join(shared, "cluster")
+    """(cluster, proof, __row, at, words, keeper) of the places whose cluster is in several documents.
+
+    A common passage makes a hot cluster: its sum is formed before the exchange, and the join is one that can be split.
+    """
+    shared = places.groupBy("cluster", "proof").agg(F.min("__row").alias("keeper"), F.max("__row").alias("__last")).where("keeper <> __last")
+    return places.join(shared.select(dealt_anew("cluster").alias("cluster"), "proof", "keeper"), ["cluster", "proof"])
 
 
 def passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -285,16 +238,16 @@ def passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     def line_places(ids: np.ndarray, w: Words) -> dict:
         at, n, h = lines(w)
-        return {"__row": ids[w.text[at]], "at": _packed(w, at, n), "words": _counted(w, at, n), "cluster": h}
+        return {"__row": ids[w.text[at]], "at": _packed(w, at, n), "words": _counted(w, at, n), "cluster": h, "proof": proofs(w, at, n)}
 
     def cut_places(ids: np.ndarray, w: Words) -> dict:
         a, n, h = cuts(w)
-        return {"__row": ids[w.text[a]], "at": _packed(w, a, n), "words": _counted(w, a, n), "cluster": h}
+        return {"__row": ids[w.text[a]], "at": _packed(w, a, n), "words": _counted(w, a, n), "cluster": h, "proof": proofs(w, a, n)}
 
-    schema = "__row long, at long, words long, cluster long"
+    schema = "__row long, at long, words long, cluster long, proof int"
     near = line_clusters(rows).withColumnRenamed("line", "__line").withColumnRenamed("cluster", "__cluster")
     own = _scan(rows, schema, line_places)
-    whole = own.join(near, F.col("cluster") == F.col("__line"), "left").select("__row", "at", "words", F.coalesce("__cluster", "cluster").alias("cluster"))
+    whole = own.join(near, F.col("cluster") == F.col("__line"), "left").select("__row", "at", "words", F.coalesce("__cluster", "cluster").alias("cluster"), F.when(F.col("__cluster").isNull(), F.col("proof")).otherwise(0).alias("proof"))
     inside = _scan(rows, schema, cut_places)
     found = _repeated(whole).withColumn("line", F.lit(True)).unionByName(_repeated(inside).withColumn("line", F.lit(False)))
     gone = F.col("keeper") != F.col("__row")

@@ -135,7 +135,7 @@ def test_similar_lines_are_found_as_brute_force_finds_them(spark):
     r = random.Random(4)
     lines = []
     for g in range(60):
-        base = words(r.randrange(12, 40), g)
+        base = words(r.randrange(25, 60), g)
         for _ in range(3):
             w = list(base)
             for _ in range(r.randrange(3)):

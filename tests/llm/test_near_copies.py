@@ -3,8 +3,11 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+
 import corpus_pipeline
-from loomtext.llm import near_copies as nc
+from loomtext.llm import banding, near_copies as nc
+from loomtext.llm.common import components
 
 from .helpers import DOCS, documents, words
 
@@ -55,13 +58,22 @@ def test_the_stage_keeps_one_of_edited_copies_as_brute_force_does(spark):
     assert out.columns == df.columns and sorted(x.doc_id for x in out.collect()) == want and len(want) < 120
 
 
-def test_a_group_that_is_cut_in_parts(spark):
-    base = words(300, 1)
-    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(40)]
-    df = documents(spark, rows).selectExpr("1L AS root", "40L AS n", "doc_id AS node", "text AS __text")
-    from loomtext.llm.common import components
-
-    assert {(x.node, x.root) for x in components(nc.links(df, part=8)).collect()} == {(i, 0) for i in range(40)}
+def test_links_of_a_star_are_those_of_all_its_pairs(spark):
+    """Texts that are not like the head meet all others, in parts; near copies of the head are not compared further."""
+    r, sets = random.Random(3), {0: set(range(100))}
+    for i in range(1, 40):
+        sets[i] = set(range(i % 4, 100 + i % 4)) if i < 20 else set(range(50 * (i // 4), 50 * (i // 4) + 60)) | {r.randrange(10**6) for _ in range(3)}
+    want = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            for j in sets:
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    want[i] = want[j] = min(want[i], want[j])
+    star = spark.createDataFrame([(i, 0) for i in range(1, 40)], "a long, b long")
+    listed = spark.createDataFrame([(i, bytearray(np.array(sorted(s), dtype=np.uint64).tobytes())) for i, s in sets.items()], "node long, set binary")
+    many = {i for i in want if sum(x == want[i] for x in want.values()) > 1}
+    for part in (3, 512):
+        assert {x.node: x.root for x in components(banding.links(star, listed, np.uint64, part)).collect()} == {i: want[i] for i in many}
 
 
 def test_rows_are_decided_one_by_one(spark):
