@@ -2,7 +2,7 @@
 
 A page is parsed to blocks. The token streams of up to PAGES pages of a host are concatenated and their
 suffix array is built; substrings of at least RUN tokens that are on RUN_PAGES distinct pages are boilerplate
-and cover tokens. Blocks outside the article that are mostly covered go; unique runs stay.
+and cover tokens. Outside articles, blocks that are mostly covered go, of others the long covered runs; unique runs stay.
 
 The suffix array alone cannot give right results here: an article may be published on several pages of its
 host, and its text must then stay, while a footer or an advert may be on one page only. So a page's article
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
-PAGES, RUN, RUN_PAGES, COVERED = 64, 6, 3, 0.7
+PAGES, RUN, RUN_PAGES, COVERED, LONG = 64, 6, 3, 0.7, 12
 #: Up to so many hosts of more than PAGES pages are broadcast (name and count, some MB); more are joined by shuffle.
 MOST_HOT = 50_000
 
@@ -33,39 +34,65 @@ _RAW = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in ("script", "style", "t
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em embed font i img ins kbd label map mark object q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr picture track".split())
 _GONE = frozenset("nav footer aside form head script style noscript template textarea iframe button select option svg canvas menu dialog object audio video datalist fieldset".split())
-_OPTIONAL = frozenset("p li dt dd tr td th thead tbody tfoot option colgroup".split())
-_KIND = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|aside|cookies?|consent|gdpr|notice|alert|banner|ads?|advert|advertisement|adsense|sponsor|sponsored|promo|promotion|share|sharing|social|comments?|disqus|respond|replies|breadcrumbs?|related|recommended|newsletter|subscribe|subscription|popup|modal|overlay|login|signup|search|pagination|pager|copyright|widget|toolbar|skip)(?:$|[\s_-])", re.I)
+#: Parts of names that mark boilerplate, and those of reader comments, which may be longer than the article.
+_LAYOUT = frozenset("nav navbar navigation menu header masthead footer sidebar side aside cookie cookies consent gdpr notice alert banner ad ads advert advertisement adsense sponsor sponsored promo promotion share sharing social breadcrumb breadcrumbs related recommended newsletter subscribe subscription popup modal overlay login signup search pagination pager copyright widget toolbar skip".split())
+_COMMENTS = frozenset("comment comments disqus respond replies".split())
+_PARTS = re.compile(r"[^\W_]+")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/>]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
 _MAIN = frozenset(("article", "main"))
+#: What an open element is ended by when its end tag is left out.
+_ENDS = {
+    "p": frozenset("address article aside blockquote details div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split()),
+    "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "option": frozenset(("option",)), "colgroup": frozenset("thead tbody tfoot tr td th".split()),
+    "td": frozenset("td th tr tbody tfoot thead".split()), "th": frozenset("td th tr tbody tfoot thead".split()), "tr": frozenset("tr tbody tfoot thead".split()),
+    "thead": frozenset(("tbody", "tfoot")), "tbody": frozenset(("tbody", "tfoot")), "tfoot": frozenset(("tbody",)),
+}
 
 
-def _goes(name: str, attributes: str, in_main: bool) -> bool:
+def _goes(name: str, attributes: str, in_main: bool) -> str:
+    """Whether an element is boilerplate: ``yes`` by kind, ``comments`` or ``layout`` by its names, else empty."""
     if name in _GONE or (name == "header" and not in_main):
-        return True
-    if name in ("html", "body", "article", "main") or len(attributes) < 4:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    if re.search(r"role\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|alert|dialog|menu)", attributes, re.I):
-        return True
-    return any(_KIND.search(next(filter(None, m), "")) for m in _NAMES.findall(attributes))
-
-
-def blocks(page: str | None) -> list[tuple[str, bool]]:
-    """(text, whether inside an article or main element) of a page's blocks in order, without what goes by kind."""
-    out: list[tuple[str, bool]] = []
+        return "yes"
+    if name in ("html", "body", "article", "main") or name in _HEADINGS or len(attributes) < 4:
+        return ""
+    if _HIDDEN.search(attributes) or re.search(r"role\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|alert|dialog|menu)", attributes, re.I):
+        return "yes"
+    parts = {x.lower() for m in _NAMES.findall(attributes) for x in _PARTS.findall(next(filter(None, m), ""))}
+    return "comments" if parts & _COMMENTS else "layout" if parts & _LAYOUT else ""
+
+
+def blocks(page: str | None, trust: bool = True) -> list[tuple[str, bool]]:
+    """(text, whether inside an article or main element) of a page's blocks in order, without what goes by kind.
+
+    With ``trust`` false no element but script, style and the like goes by kind or is an article.
+
+    An element that only its names mark as layout stays if it holds an article or main element or most of the text that it
+    could be taken from, so that a page's text is never lost to a class name.
+    """
+    out: list[tuple[str, bool, tuple[int, ...]]] = []
     buffer: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, gone, main
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # name, gone, main, marked elements around
+    marks: list[tuple[str, bool]] = []  # kind, whether inside main
+    opened: Counter[str] = Counter()
     gone = main = False
+    inside: tuple[int, ...] = ()
 
     def flush() -> None:
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             if text:
-                out.append((text, main))
+                out.append((text, main, inside))
             buffer.clear()
 
+    def close(i: int) -> None:
+        nonlocal gone, main, inside
+        flush()
+        opened.subtract(x[0] for x in stack[i:])
+        del stack[i:]
+        gone, main, inside = stack[-1][1:] if stack else (False, False, ())
+
     page, at = page or "", 0
     while at < len(page):
         m = _MARK.search(page, at)
@@ -84,31 +111,52 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
         elif name == "br" and not gone:
             buffer.append(" ")
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    flush()
-                    del stack[i:]
-                    gone, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                    break
+            if opened[name] > 0:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
+        cut = None
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] not in _ENDS and stack[i][0] not in _INLINE:
+                break
+            if name in _ENDS.get(stack[i][0], ()):
+                cut = i
+        if cut is not None:
+            close(cut)
         if name in _RAW:
             end = _RAW[name].search(page, at)
             at = end.start() if end else len(page)
             continue
         if name in _VOID or (m[3] or "").endswith("/>") and name not in _MAIN:
             continue
-        goes = not gone and _goes(name, m[3] or "", main)
-        if goes:
+        goes = "" if gone or not trust else _goes(name, m[3] or "", main)
+        if goes or name in _MAIN:
             flush()
-        if name in _OPTIONAL or name in _INLINE:
-            if not goes:
-                continue  # may stay open; neither starts nor ends anything
-        if name in _MAIN:
-            flush()
-        gone, main = gone or goes, main or (name in _MAIN and not gone)
-        stack.append((name, gone, main))
+        elif name in _INLINE:
+            continue  # may stay open; neither starts nor ends anything
+        if goes in ("comments", "layout"):
+            marks.append((goes, main))
+            inside = (*inside, len(marks) - 1)
+        gone, main = gone or goes == "yes", main or (trust and name in _MAIN and not gone)
+        stack.append((name, gone, main, inside))
+        opened[name] += 1
     flush()
-    return out
+    if not marks:
+        return [(t, m) for t, m, _ in out]
+    has_main = any(m for _, m, _ in out)
+    total, of_main = sum(len(t) for t, _, _ in out), sum(len(t) for t, m, _ in out if m)
+    size, holds = Counter(), set()
+    for t, m, around in out:
+        for i in around:
+            size[i] += len(t)
+            if m and not marks[i][1]:
+                holds.add(i)
+
+    def stays(i: int) -> bool:
+        kind, within = marks[i]
+        return i in holds or (kind == "layout" and (within or not has_main) and 2 * size[i] > (of_main if within else total))
+
+    lost = {i for i in range(len(marks)) if not stays(i)}
+    return [(t, m) for t, m, around in out if lost.isdisjoint(around)]
 
 
 def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,6 +221,18 @@ def covered(streams: list[np.ndarray], run: int = RUN, pages: int = RUN_PAGES, k
     return [cover[a : b - 1] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def unique_runs(tokens: list[str], cover: np.ndarray) -> list[str]:
+    """What stays of a block outside any article: nothing if COVERED of it or more is covered, else its text without covered runs of LONG tokens or more (one text, if any is left)."""
+    if not len(tokens) or cover.mean() >= COVERED:
+        return []
+    edge = np.nonzero(np.diff(np.concatenate([[0], cover.astype(np.int8), [0]])))[0]
+    drop = np.zeros(len(tokens), dtype=bool)
+    for a, b in zip(edge[0::2], edge[1::2], strict=True):
+        drop[a:b] = b - a >= LONG
+    text = " ".join(t for t, d in zip(tokens, drop, strict=True) if not d)
+    return [text] if text else []
+
+
 def main_texts(pages: list[list[tuple[str, bool]]], known: np.ndarray | None = None) -> list[str]:
     """The main text of each of some pages of one host (as ``blocks`` gives them).
 
@@ -195,10 +255,11 @@ def main_texts(pages: list[list[tuple[str, bool]]], known: np.ndarray | None = N
         has_main, at, kept = any(m for _, m in p), 0, []
         for text, is_main in p:
             n = len(text.split())
-            share = cover[i][at : at + n].mean() if n else 0.0
-            at += n
-            if is_main or (not has_main and share < COVERED):
+            if is_main:
                 kept.append(text)
+            elif not has_main:
+                kept.extend(unique_runs(text.split(), cover[i][at : at + n]))
+            at += n
         out.append("\n\n".join(kept))
     return out
 
