@@ -159,9 +159,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
 
     sample = labelled_sample(docs, labels, label, fold(F.col("__key"), folds) != held, bound, key, text)
     rows = map_arrow(sample, ["__text", "__label"], "x array<double>, y int", features).toPandas()
-    x = np.array(rows["x"].tolist()).reshape(-1, 2 * DIM + 4)
-    order = np.lexsort(x.T) if len(x) else []
-    weights = spark.sparkContext.broadcast(train(x[order], rows["y"].to_numpy(dtype=np.int64)[order]))
+    x, y = np.array(rows["x"].tolist()).reshape(-1, 2 * DIM + 4), rows["y"].to_numpy(dtype=np.int64)
+    order = np.lexsort([y, *x.T]) if len(x) else []
+    weights = spark.sparkContext.broadcast(train(x[order], y[order]))
     memo: Memo | None = None
 
     def score(keys, out, texts):

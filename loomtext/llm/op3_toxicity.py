@@ -14,12 +14,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import map_arrow, saved, table
 from .scoring import Memo, fold, labelled_sample
 
 #: At most so many labelled rows give the lexicon and fit the trees (drawn by hash).
 SAMPLE = 8000
-#: A term enters the lexicon if it is in this share of the toxic sample (and 5 rows) and this log-odds apart.
+#: A term enters the lexicon if it is in this share of the toxic sample (and 5 rows) and this log-odds apart; the heaviest LEXICON do (part of the fit on the sample).
 SUPPORT, APART, LEXICON = 0.02, 2.0, 4096
 NEAR = 4
 _WORDS = re.compile(r"\w+")
@@ -41,18 +41,16 @@ def terms(text: str) -> set[str]:
 
 
 def lexicon(sample: DataFrame) -> dict[str, float]:
-    """Term weights (log-odds of the toxic share), from a bounded sample; at most LEXICON terms are collected."""
+    """Term weights (log-odds of the toxic share), from a bounded sample of distinct texts; at most LEXICON terms are collected."""
     size = sample.agg(F.sum("__label").alias("p"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = size["p"] or 0, size["n"] - (size["p"] or 0)
     if not toxic or not clean:
         return {}
 
     def count(texts, marks):
-        pos, neg, seen = Counter(), Counter(), set()
+        pos, neg = Counter(), Counter()
         for t, y in zip(texts.to_pylist(), marks.to_pylist(), strict=True):
-            if (t, y) not in seen:
-                seen.add((t, y))
-                (pos if y else neg).update(terms(t))
+            (pos if y else neg).update(terms(t))
         keys = list(pos | neg)
         yield {"term": keys, "p": [pos[k] for k in keys], "n": [neg[k] for k in keys]}
 
@@ -164,18 +162,24 @@ def isotonic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs, np.maximum.accumulate(ys)
 
 
-def train(x: np.ndarray, y: np.ndarray, seed: int = 5) -> dict:
-    """Trees and calibration; a quarter of the rows is held back for the isotonic fit. One class only: a constant."""
+def train(x: np.ndarray, y: np.ndarray, seed: int = 5, folds: int = 3) -> dict:
+    """Trees fitted on all rows, and an isotonic calibration on what trees of the other folds give each row.
+
+    With too few rows, or one class only in all or in some fold's training rows, the result is a constant score.
+    """
+    constant = {"constant": (y.sum() + 1) / (len(y) + 2)}
     if len(y) < 40 or y.min() == y.max():
-        return {"constant": (y.sum() + 1) / (len(y) + 2)}
+        return constant
     order = np.random.default_rng(seed).permutation(len(y))
     x, y = x[order], y[order].astype(np.float64)
-    cut = len(y) // 4
-    if y[cut:].min() == y[cut:].max():
-        return {"constant": (y.sum() + 1) / (len(y) + 2)}
-    trees = Trees().fit(x[cut:], y[cut:])
-    xs, ys = isotonic(trees.raw(x[:cut]), y[:cut])
-    return {"trees": vars(trees), "xs": xs, "ys": ys}  # plain values only: a broadcast is unpickled without this package
+    fold, z = np.arange(len(y)) % folds, np.empty(len(y))
+    for k in range(folds):
+        out = fold == k
+        if y[~out].min() == y[~out].max():
+            return constant
+        z[out] = Trees().fit(x[~out], y[~out]).raw(x[out])
+    xs, ys = isotonic(z, y)
+    return {"trees": vars(Trees().fit(x, y)), "xs": xs, "ys": ys}  # plain values only: a broadcast is unpickled without this package
 
 
 def probability(x: np.ndarray, model: dict) -> np.ndarray:
@@ -185,14 +189,10 @@ def probability(x: np.ndarray, model: dict) -> np.ndarray:
     return np.interp(Trees(**model["trees"]).raw(x), model["xs"], model["ys"])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, bound: int = SAMPLE, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, held_out, score, predicted) of every row and the columns ``keep``; labels are learned from the folds other than ``held``.
-
-    Null text is empty; an empty text has all features 0 and the score the trees give that; repeated rows are
-    scored alike. Without usable labels of both classes every score is one constant.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, keep: list[str], label: str, folds: int, held: int, bound: int, key: str, text: str) -> DataFrame:
+    """``__key``, ``__held``, ``__score``, ``__toxic`` of every row, and the columns ``keep`` as ``__k0``, ``__k1``, ..."""
     spark = docs.sparkSession
-    sample = labelled_sample(docs, labels, label, fold(F.col("__key"), folds) != held, bound, key, text)
+    sample = saved(labelled_sample(docs, labels, label, fold(F.col("__key"), folds) != held, bound, key, text))
     weights = spark.sparkContext.broadcast(lexicon(sample))
 
     def look(word: str) -> tuple[float, float]:
@@ -205,28 +205,40 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
         yield {"x": inputs(texts, Memo(look)).tolist(), "y": marks}
 
     rows = map_arrow(sample, ["__text", "__label"], "x array<double>, y int", learn).toPandas()
-    x = np.array(rows["x"].tolist()).reshape(-1, FEATURES)
-    order = np.lexsort(x.T) if len(x) else []
-    model = spark.sparkContext.broadcast(train(x[order], rows["y"].to_numpy(dtype=np.int64)[order]))
+    x, y = np.array(rows["x"].tolist()).reshape(-1, FEATURES), rows["y"].to_numpy(dtype=np.int64)
+    order = np.lexsort([y, *x.T]) if len(x) else []
+    model = spark.sparkContext.broadcast(train(x[order], y[order]))
     memo: Memo | None = None
 
     def score(keys, out, texts, *rest):
         nonlocal memo
         memo = memo if memo is not None else Memo(look)
         p = probability(inputs(texts, memo), model.value)
-        yield {"__key": keys, "held_out": out, "score": p, "predicted": (p >= 0.5).astype(np.int32), **{f"__k{i}": c for i, c in enumerate(rest)}}
+        yield {"__key": keys, "__held": out, "__score": p, "__toxic": (p >= 0.5).astype(np.int32), **{f"__k{i}": c for i, c in enumerate(rest)}}
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     every = docs.select(F.col(key).alias("__key"), (fold(F.col(key), folds) == held).alias("__out"), F.col(text).cast("string").alias("__text"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)])
-    schema = ", ".join([f"__key {kinds[key]}, held_out boolean, score double, predicted int", *[f"__k{i} {kinds[c]}" for i, c in enumerate(keep)]])
-    scored = map_arrow(every, every.columns, schema, score)
-    return scored.select(F.col("__key").alias(key) if key not in keep else F.col("__key"), "held_out", "score", "predicted", *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)])
+    schema = ", ".join([f"__key {kinds[key]}, __held boolean, __score double, __toxic int", *[f"__k{i} {kinds[c]}" for i, c in enumerate(keep)]])
+    return map_arrow(every, every.columns, schema, score)
+
 
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, bound: int = SAMPLE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, held_out, score, predicted) of every row; labels are learned from the folds other than ``held``.
 
-def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, in their own columns."""
-    scored = score_toxicity(docs, labels, keep=tuple(docs.columns), **options)
-    return scored.where("predicted = 0").select(*[scored[c] for c in docs.columns])
+    Null text is empty; an empty text has all features 0 and the score the trees give that; repeated rows are
+    scored alike; a null key counts as an empty one for its fold. Without usable labels of both classes every score is one constant.
+    """
+    scored = _scored(docs, labels, [], label, folds, held, bound, key, text)
+    return scored.select(F.col("__key").alias(key), F.col("__held").alias("held_out"), F.col("__score").alias("score"), F.col("__toxic").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, bound: int = SAMPLE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, in their own columns, whatever these are called.
+
+    Rows are judged one by one: null and empty texts, null keys and repeated rows as ``score_toxicity`` has it.
+    """
+    scored = _scored(docs, labels, docs.columns, label, folds, held, bound, key, text)
+    return scored.where("__toxic = 0").select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,15 +12,17 @@ def fold(key: Column, n: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, bound: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``__key``, ``__text``, ``__label``) of at most ``bound`` labelled documents that ``keep`` (on ``__key``) admits.
+    """(``__text``, ``__label``) of at most ``bound`` distinct texts of the labelled documents that ``keep`` (on ``__key``) admits.
 
-    The labels are drawn by hash, so the choice is the same at every partitioning; a key with several labels
-    counts with its largest. The drawn keys, at most ``bound``, are broadcast. Equal texts count once.
+    At most ``bound`` labelled keys are drawn by hash (and broadcast), so the choice is the same at every partitioning; a key
+    with several labels counts with its largest. Equal texts count once, with the largest of their labels; where a key is
+    on many rows with different texts, ``bound`` of all texts are drawn, by hash again.
     """
     own = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).where(F.col("__key").isNotNull() & F.col("__label").isNotNull() & keep)
     drawn = own.groupBy("__key").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__key"), "__key").limit(bound)
     texts = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    return texts.join(F.broadcast(drawn), "__key")
+    once = texts.join(F.broadcast(drawn), "__key").groupBy("__text").agg(F.max("__label").alias("__label"))
+    return once.orderBy(F.xxhash64("__text"), "__text").limit(bound)
 
 
 class Memo(dict):
