@@ -18,7 +18,7 @@ from .common import Forest, saved
 
 SIMILAR = 0.8
 #: Texts of one group that a part holds; a part of those to compare meets a part of all as one unit of work.
-PART = 512
+PART = 128
 
 
 def gathered(pairs: DataFrame) -> DataFrame:
