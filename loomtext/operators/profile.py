@@ -2,22 +2,54 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import missing, words
+from ..session import small_side
 
+#: Rank error of the sketch that brackets a quantile: one in so many.
+ACCURACY = 10_000
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
+def quantiles(df: DataFrame, groups: list[str], columns: list[str], at: tuple[float, ...]) -> DataFrame:
+    """(groups, column_name, n, q): exact quantiles ``at`` of numeric columns, linearly interpolated, as an array in order.
+
+    A mergeable sketch first brackets each quantile; the values outside its bracket are only counted, and those inside are
+    counted by value and put in order, so no task holds more of a column than a bracket.
+    """
+    keys = [*groups, "column_name"]
+    long = df.select(*groups, F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns]))).where("v IS NOT NULL")
+    edges = [F.greatest(F.lit(0.0), F.lit(q - 2 / ACCURACY)) for q in at] + [F.least(F.lit(1.0), F.lit(q + 2 / ACCURACY)) for q in at]
+    sketch = long.groupBy(*keys).agg(F.count("v").alias("n"), F.percentile_approx("v", F.array(*edges), ACCURACY).alias("e"), F.min("v").alias("low"), F.max("v").alias("high"))
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("at"), (F.col("low") if q <= 0 else F.col("e")[i]).alias("lo"), (F.col("high") if q >= 1 else F.col("e")[len(at) + i]).alias("hi")) for i, q in enumerate(at)])
+    wanted = sketch.select(*keys, "n", F.inline(places))
+    brackets = small_side(wanted.select(*[F.col(k).alias(f"__{k}") for k in keys], "n", "i", "at", "lo", "hi"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    side = F.when(F.col("v") < F.col("lo"), -1).when(F.col("v") > F.col("hi"), 1).otherwise(0)
+    tagged = long.join(brackets, same).withColumn("side", side)
+    # A bracket may miss the place wanted by one, so of those below the largest is known and of those above the smallest.
+    counted = tagged.groupBy(*keys, "i", "n", "at", "side", F.when(F.col("side") == 0, F.col("v")).alias("x")).agg(F.count(F.lit(1)).alias("c"), F.when(F.col("side") < 0, F.max("v")).otherwise(F.min("v")).alias("v"))
+    upto = F.sum("c").over(W.partitionBy(*keys, "i").orderBy("side", "x").rowsBetween(W.unboundedPreceding, 0))
+    ordered = counted.withColumn("upto", upto).withColumn("r", F.col("at") * (F.col("n") - 1))
+    reached = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
+    ends = ordered.groupBy(*keys, "i", "n", "r").agg(reached(F.floor("r")).alias("a"), reached(F.ceil("r")).alias("b"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("r") - F.floor("r"))
+    return ends.groupBy(*keys, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", value.alias("x")))), lambda s: s.x).alias("q"))
+
+
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """count, mean, std, min, quartiles (linear interpolation) and max of numeric columns, one row a column."""
     names = columns or [c for c, t in df.dtypes if t in NUMERIC]
     parts = []
     for c in names:
         v = F.col(c).cast("double")
-        parts.append(F.struct(F.lit(c).alias("column_name"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(v).alias("high")))
-    one = df.agg(F.array(*parts).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+        parts.append(F.struct(F.lit(c).alias("column_name"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high")))
+    one = df.agg(F.array(*parts).alias("rows")).select(F.explode("rows").alias("r")).select("r.*").join(quantiles(df, [], names, (0.25, 0.5, 0.75)).drop("n"), "column_name", "left")
     return one.select("column_name", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "low", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "high")
 
 
@@ -41,14 +73,15 @@ def duplicates(df: DataFrame, keys: list[str | Column]) -> DataFrame:
 
 def outliers(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows below the ``low`` or above the ``high`` percentile, with the two bounds (one row, broadcast)."""
-    bounds = df.agg(F.percentile(F.col(value), F.lit(low)).alias("p_low"), F.percentile(F.col(value), F.lit(high)).alias("p_high"))
+    bounds = quantiles(df, [], [value], (low, high)).select(F.col("q")[0].alias("p_low"), F.col("q")[1].alias("p_high"))
     return df.crossJoin(F.broadcast(bounds)).where((F.col(value) < F.col("p_low")) | (F.col(value) > F.col("p_high")))
 
 
 def five_numbers(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Minimum, quartiles and maximum per group."""
-    q = F.percentile(F.col(value), F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return df.groupBy(group).agg(q.alias("q")).select(group, *[F.col("q")[i].alias(n) for i, n in enumerate(("low", "q25", "q50", "q75", "high"))])
+    """Minimum, quartiles and maximum per group; groups without a value have nulls."""
+    q = quantiles(df, [group], [value], (0.0, 0.25, 0.5, 0.75, 1.0)).select(F.col(group).alias("__g"), "q")
+    names = ("low", "q25", "q50", "q75", "high")
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("__rows")).join(q, F.col(group).eqNullSafe(F.col("__g")), "left").select(group, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
 
 def balance(df: DataFrame, group: str, few: int = 50, very_few: int = 20) -> DataFrame:

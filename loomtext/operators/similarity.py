@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from .terms import MIN_DF, SIZE, term_counts, vocabulary, weighed
+from ..session import checkpointed, small_side
+from .terms import MIN_DF, SIZE, Clean, as_it_is, dealt, term_counts, vocabulary, weighed
 
-#: A query side of up to this many rows is broadcast; a larger one needs the term join.
-MOST_QUERIES = 1000
+#: Queries that are broadcast at a time.
+QUERY_BLOCK = 4096
 
 
 def ranked(scored: DataFrame, query: str, score: str, key: str, n: int) -> DataFrame:
@@ -21,30 +22,37 @@ def ranked(scored: DataFrame, query: str, score: str, key: str, n: int) -> DataF
     return scored.withColumn("rank", place).where(F.col("rank") <= n)
 
 
-def vector_top_n(items: DataFrame, queries: DataFrame, key: str, vector: str, n: int = 5, cosine: bool = True, digits: int = 6) -> DataFrame:
+def vector_top_n(items: DataFrame, queries: DataFrame, key: str, vector: str, n: int = 5, cosine: bool = True, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, key, sim_score): exact search of every query in all other items.
 
-    The query side must hold at most MOST_QUERIES rows (checked); it is broadcast, the items are scanned once.
+    The queries go in blocks of about ``block``, dealt by hash; the items meet the blocks one after another, so that what is broadcast at a time is one block, whatever the number of queries.
     """
-    asked = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("__q")).limit(MOST_QUERIES + 1)
-    if asked.count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries")
+    asked = checkpointed(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("__q")))
+    blocks = max(1, -(-asked.count() // block))
     a, b = F.col(vector), F.col("__q")
     score = vectors.cosine(a, b) if cosine else vectors.dot(a, b)
-    scored = items.crossJoin(F.broadcast(asked)).where(F.col(key) != F.col("query_id")).withColumn("sim_score", F.round(score, digits))
-    return ranked(scored, "query_id", "sim_score", key, n).select("query_id", "rank", key, "sim_score")
+    found = None
+    for i in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        scored = items.crossJoin(F.broadcast(own)).where(F.col(key) != F.col("query_id")).withColumn("sim_score", F.round(score, digits))
+        part = ranked(scored, "query_id", "sim_score", key, n).select("query_id", "rank", key, "sim_score")
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
-def tfidf_top_n(items: DataFrame, queries: DataFrame, key: str, query_key: str, text: str, n: int = 5, size: int = SIZE, min_df: int = MIN_DF, longest: int = 1, digits: int = 6) -> DataFrame:
+def tfidf_top_n(items: DataFrame, queries: DataFrame, key: str, query_key: str, text: str, n: int = 5, size: int = SIZE, min_df: int = MIN_DF, longest: int = 1, digits: int = 6, clean: Clean = as_it_is) -> DataFrame:
     """(query_key, rank, key, sim_score): TF-IDF cosine of every query with all items that share a term.
 
-    Vocabulary and idf come from the items. Products are summed per (query, item) before the ranking.
+    Vocabulary and idf come from the items. The weighed queries are written once and, if few enough, broadcast: the items'
+    postings then stay where they are, products are summed there and only each partition's best go on.
     """
-    vocab = vocabulary(items, key, text, size, min_df, longest).persist()
+    own = dealt(items, key, text)
+    vocab = vocabulary(own, key, text, size, min_df, longest, clean)
     docs = items.agg(F.count(F.lit(1)).alias("__docs"))
-    own = weighed(term_counts(items, key, text, vocab, longest).crossJoin(F.broadcast(docs)), key, F.col("__docs"))
-    asked = weighed(term_counts(queries, query_key, text, vocab, longest).crossJoin(F.broadcast(docs)), query_key, F.col("__docs")).select(query_key, "term", F.col("tfidf").alias("__q"))
-    scored = own.join(asked, "term").groupBy(query_key, key).agg(F.round(F.sum(F.col("tfidf") * F.col("__q")), digits).alias("sim_score"))
+    ours = weighed(term_counts(own, key, text, vocab, longest, clean).crossJoin(F.broadcast(docs)), key, F.col("__docs"))
+    theirs = weighed(term_counts(dealt(queries, query_key, text), query_key, text, vocab, longest, clean).crossJoin(F.broadcast(docs)), query_key, F.col("__docs"))
+    asked = small_side(theirs.select(query_key, "term", F.col("tfidf").alias("__q")))
+    scored = ours.join(asked, "term").groupBy(query_key, key).agg(F.round(F.sum(F.col("tfidf") * F.col("__q")), digits).alias("sim_score"))
     return ranked(scored, query_key, "sim_score", key, n).select(query_key, "rank", key, "sim_score")
 
 

@@ -1,27 +1,45 @@
-"""Term statistics, TF-IDF weights and vocabulary overlap."""
+"""Term statistics, TF-IDF weights and vocabulary overlap.
+
+For what is counted per document the texts are dealt by key once, before they are cleaned; all counts, norms and sums per
+document then stay in their partition, and postings are never shuffled but by term, after they are summed.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..session import checkpointed
 
 SIZE, MIN_DF = 5000, 2
 
 
+Clean = Callable[[Column], Column]
+
+
+def as_it_is(text: Column) -> Column:
+    return text
+
+
 def tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """One row a word: ``keys`` and ``term``."""
     return df.select(*keys, F.explode(words(F.col(text))).alias("term"))
 
 
-def grams(text: Column, longest: int = 2) -> Column:
-    """The words of two and more characters and, up to ``longest`` = 2, their neighbouring pairs."""
-    own = F.filter(words(text), lambda w: F.char_length(w) >= 2)
+def terms_of(df: DataFrame, keys: list[str], text: Column, longest: int = 2) -> DataFrame:
+    """One row a term: ``keys`` and ``term``, the words of two and more characters and, with ``longest`` = 2, their neighbouring pairs.
+
+    The words are a column of their own first, so that a text is split once.
+    """
+    own = df.select(*keys, F.filter(words(text), lambda w: F.char_length(w) >= 2).alias("__own"))
     if longest < 2:
-        return own
-    n = F.greatest(F.size(own) - 1, F.lit(0))
-    return F.concat(own, F.zip_with(F.slice(own, F.lit(1), n), F.slice(own, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
+        return own.select(*keys, F.explode("__own").alias("term"))
+    n = F.greatest(F.size("__own") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("__own", F.lit(1), n), F.slice("__own", F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+    return own.select(*keys, F.explode(F.concat("__own", pairs)).alias("term"))
 
 
 def word_frequency(df: DataFrame, text: str, n: int = 10) -> DataFrame:
@@ -32,7 +50,7 @@ def word_frequency(df: DataFrame, text: str, n: int = 10) -> DataFrame:
 
 def term_weights(df: DataFrame, group: str, text: str, n: int = 20, stops: tuple[str, ...] = (), longest: int = 1) -> DataFrame:
     """Per group the ``n`` most frequent terms and their counts relative to the first: what a word cloud draws."""
-    terms = df.select(group, F.explode(grams(F.col(text), longest)).alias("term"))
+    terms = terms_of(df, [group], F.col(text), longest)
     if stops:
         terms = terms.where(~F.col("term").isin(*stops))
     counts = terms.groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
@@ -54,31 +72,37 @@ def signature_terms(df: DataFrame, group: str, text: str, n: int = 5, least: int
     return scored.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= n).select(group, "rank", "term", "n", "lift")
 
 
-def vocabulary(df: DataFrame, key: str, text: str, size: int = SIZE, min_df: int = MIN_DF, longest: int = 2) -> DataFrame:
-    """(term, df, cf) of the ``size`` most frequent terms in ``min_df`` or more documents, ties by term."""
-    per_doc = df.select(key, F.explode(grams(F.col(text), longest)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def dealt(df: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, ``text`` and ``carry``, partitioned by key."""
+    return df.select(key, text, *carry).repartition(key)
+
+
+def vocabulary(own: DataFrame, key: str, text: str, size: int = SIZE, min_df: int = MIN_DF, longest: int = 2, clean: Clean = as_it_is) -> DataFrame:
+    """(term, df, cf) of the ``size`` most frequent terms in ``min_df`` or more documents, ties by term; ``own`` is ``dealt``."""
+    per_doc = terms_of(own, [key], clean(F.col(text)), longest).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     terms = per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df)
     return terms.orderBy(F.col("cf").desc(), "term").limit(size)
 
 
-def term_counts(df: DataFrame, key: str, text: str, vocab: DataFrame, longest: int = 2) -> DataFrame:
-    """(key, term, tf, df) over the vocabulary (at most its ``size`` rows, broadcast before the counts are made)."""
-    every = df.select(key, F.explode(grams(F.col(text), longest)).alias("term"))
-    return every.join(F.broadcast(vocab.select("term", "df")), "term").groupBy(key, "term", "df").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(own: DataFrame, key: str, text: str, vocab: DataFrame, longest: int = 2, clean: Clean = as_it_is, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carry, term, tf, df) over the vocabulary (at most its ``size`` rows, broadcast before the counts are made)."""
+    every = terms_of(own, [key, *carry], clean(F.col(text)), longest)
+    return every.join(F.broadcast(vocab.select("term", "df")), "term").groupBy(key, *carry, "term", "df").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def weighed(counts: DataFrame, key: str, n_docs: Column) -> DataFrame:
-    """(key, term, tf, tfidf): raw tf times ln((1 + n) / (1 + df)) + 1, rows scaled to length 1."""
+def weighed(counts: DataFrame, key: str, n_docs: Column, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carry, term, tf, tfidf): raw tf times ln((1 + n) / (1 + df)) + 1, rows scaled to length 1."""
     raw = counts.withColumn("w", F.col("tf") * (F.log((n_docs + 1).cast("double") / (F.col("df") + 1).cast("double")) + 1))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
-    return raw.select(key, "term", "tf", (F.col("w") / length).alias("tfidf"))
+    return raw.select(key, *carry, "term", "tf", (F.col("w") / length).alias("tfidf"))
 
 
-def tfidf(df: DataFrame, key: str, text: str, size: int = SIZE, min_df: int = MIN_DF, longest: int = 2) -> DataFrame:
-    """TF-IDF postings of a corpus over its own vocabulary."""
-    n = df.agg(F.count(F.lit(1)).alias("__docs"))
-    counts = term_counts(df, key, text, vocabulary(df, key, text, size, min_df, longest), longest)
-    return weighed(counts.crossJoin(F.broadcast(n)), key, F.col("__docs"))
+def tfidf(df: DataFrame, key: str, text: str, size: int = SIZE, min_df: int = MIN_DF, longest: int = 2, clean: Clean = as_it_is, carry: tuple[str, ...] = ()) -> DataFrame:
+    """TF-IDF postings of a corpus over its own vocabulary, with the columns ``carry`` of their documents."""
+    n, own = df.agg(F.count(F.lit(1)).alias("__docs")), dealt(df, key, text, carry)
+    vocab = vocabulary(own.select(key, text), key, text, size, min_df, longest, clean)
+    counts = term_counts(own, key, text, vocab, longest, clean, carry)
+    return weighed(counts.crossJoin(F.broadcast(n)), key, F.col("__docs"), carry)
 
 
 def top_terms(df: DataFrame, text: str, n: int) -> DataFrame:
@@ -94,12 +118,12 @@ def jaccard_top(left: DataFrame, right: DataFrame, text: str, n: int = 5000) ->
     return both.agg(shared.alias("n_shared"), every.alias("n_all"), F.coalesce(F.try_divide(shared.cast("double"), every.cast("double")), F.lit(0.0)).alias("jaccard"))
 
 
-def weighted_overlap(left: DataFrame, right: DataFrame, key: str, text: str, other_key: str) -> DataFrame:
+def weighted_overlap(left: DataFrame, right: DataFrame, key: str, text: str, other_key: str, clean: Clean = as_it_is) -> DataFrame:
     """Sum over shared words of the smaller of the two sides' mean TF-IDF weights, to 6 places."""
     sides = []
     for df, k in ((left, key), (right, other_key)):
         n = df.agg(F.count(F.lit(1)).alias("__n"))
-        sides.append(tfidf(df, k, text, longest=1).groupBy("term").agg(F.sum("tfidf").alias("s")).crossJoin(F.broadcast(n)).select("term", (F.col("s") / F.col("__n")).alias("w")))
+        sides.append(tfidf(df, k, text, longest=1, clean=clean).groupBy("term").agg(F.sum("tfidf").alias("s")).crossJoin(F.broadcast(n)).select("term", (F.col("s") / F.col("__n")).alias("w")))
     both = sides[0].join(sides[1].withColumnRenamed("w", "v"), "term")
     return both.agg(F.count(F.lit(1)).alias("n_shared"), F.round(F.sum(F.least("w", "v")), 6).alias("overlap"))
 
@@ -114,10 +138,12 @@ def jaccard_matrix(left: DataFrame, right: DataFrame, group: str, text: str) ->
     return every.select("left_group", "right_group", "n_shared", (F.col("n_shared").cast("double") / (F.col("na") + F.col("nb") - F.col("n_shared")).cast("double")).alias("jaccard"))
 
 
-def group_cosine(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
-    """Cosine of the mean TF-IDF vectors of every two groups, to 6 places."""
-    named = tfidf(df, key, text, longest=1).join(df.select(key, group), key)
-    mean = named.groupBy(group, "term").agg(F.sum("tfidf").alias("w"))
+def group_cosine(df: DataFrame, key: str, group: str, text: str, clean: Clean = as_it_is) -> DataFrame:
+    """Cosine of the mean TF-IDF vectors of every two groups, to 6 places.
+
+    The documents' group goes with their postings; the means (a vocabulary a group) are written once and used three times.
+    """
+    mean = checkpointed(tfidf(df, key, text, longest=1, clean=clean, carry=(group,)).groupBy(group, "term").agg(F.sum("tfidf").alias("w")))
     lengths = mean.groupBy(group).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     a, b = mean.select(F.col(group).alias("left_group"), "term", F.col("w").alias("a")), mean.select(F.col(group).alias("right_group"), "term", F.col("w").alias("b"))
     dots = a.join(b, "term").groupBy("left_group", "right_group").agg(F.sum(F.col("a") * F.col("b")).alias("d"))

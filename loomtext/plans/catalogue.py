@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import lemma, text as t, vectors
 from ..functions.features import with_features
 from ..operators import classify, profile as p, relational as r, similarity as s, terms
+from ..session import spread
 from ..sources.corpus import load_corpus, save_corpus
 from . import pipeline
 
@@ -42,8 +43,13 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are to be worked on: a small one is dealt over all cores first."""
+    return spread(read(spark, sf, name))
+
+
 def cleaned(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return read(spark, sf, "documents").select(*columns, t.clean(F.col("text")).alias("desc_clean"))
+    return texts(spark, sf).select(*columns, t.clean(F.col("text")).alias("desc_clean"))
 
 
 # SQL pieces
@@ -80,7 +86,7 @@ def clean_text(spark, sf):
 
 @query(f"SELECT page_id, {q_clean(chr(39) + 'www.x.example ' + chr(39) + ' || url || ' + chr(39) + ' ' + chr(39) + ' || html')} AS page_clean FROM pages")
 def clean_html_noise(spark, sf):
-    return read(spark, sf, "pages").select("page_id", t.clean(F.concat(F.lit("www.x.example "), "url", F.lit(" "), "html")).alias("page_clean"))
+    return texts(spark, sf, "pages").select("page_id", t.clean(F.concat(F.lit("www.x.example "), "url", F.lit(" "), "html")).alias("page_clean"))
 
 
 @query(f"WITH {D_CLEAN} SELECT doc_id, {FEATURES} FROM w")
@@ -109,12 +115,12 @@ def domains_extract(spark, sf):
 @query(f"SELECT doc_id, {q_tags('source', 'text', TAGS)} AS categories, {q_tags('source', 'text', t.CATEGORIES)} AS default_categories FROM documents")
 def category_tagger(spark, sf):
     a, b = F.col("source"), F.col("text")
-    return read(spark, sf, "documents").select("doc_id", F.array_join(t.categories(a, b, TAGS), ",").alias("categories"), F.array_join(t.categories(a, b), ",").alias("default_categories"))
+    return texts(spark, sf).select("doc_id", F.array_join(t.categories(a, b, TAGS), ",").alias("categories"), F.array_join(t.categories(a, b), ",").alias("default_categories"))
 
 
 @query(f"WITH {D_CLEAN} SELECT doc_id, x AS desc_clean, array_to_string({q_match('ws', SKILL_WORDS)}, ',') AS desc_skills, {q_domains(DOMAIN_WORDS, SKILL_WORDS, t.IMPLIED)} AS desc_domains, {FEATURES} FROM w")
 def preprocess_pipeline(spark, sf):
-    out = pipeline.preprocess(read(spark, sf, "documents").select("doc_id", "text"), "text", "desc_", skills=lambda c: t.skills(c, SKILL_WORDS), domains=lambda c, k: t.domains(c, k, DOMAIN_WORDS))
+    out = pipeline.preprocess(texts(spark, sf).select("doc_id", "text"), "text", "desc_", skills=lambda c: t.skills(c, SKILL_WORDS), domains=lambda c, k: t.domains(c, k, DOMAIN_WORDS))
     out = with_features(out, "desc_clean", "desc_").drop("text")
     return out.withColumns({c: F.array_join(c, ",") for c in ("desc_skills", "desc_domains")})
 
@@ -226,7 +232,7 @@ def duplicates(spark, sf):
 
 @query(f"WITH a AS (SELECT doc_id, trim(coalesce(text, '')) = '' AS is_empty, len({q_words('text')}) < 20 AS is_short, coalesce(n_chars <> length(text), true) AS length_differs, {q_match(q_words(q_clean('text')), SKILL_WORDS)} AS tags FROM documents) SELECT doc_id, is_empty, is_short, length_differs, len(tags) > 0 AND is_empty AS tags_without_text FROM a")
 def text_qa_flags(spark, sf):
-    docs = read(spark, sf, "documents")
+    docs = texts(spark, sf)
     return p.text_flags(docs, "text", "n_chars", t.skills(t.clean(F.col("text")), SKILL_WORDS)).select("doc_id", "is_empty", "is_short", "length_differs", "tags_without_text")
 
 
@@ -313,7 +319,7 @@ def q_tfidf(name: str, rows: str, grams: str = "ws", keep: str = "id") -> str:
 
 @query(f"WITH {SIDES}, {q_tfidf('p', 'a')}, {q_tfidf('q', 'b')}, x AS (SELECT term, sum(w) / (SELECT count(*) FROM a) AS w FROM p GROUP BY term), y AS (SELECT term, sum(w) / (SELECT count(*) FROM b) AS v FROM q GROUP BY term) SELECT count(*) AS n_shared, round(sum(least(w, v)), 6) AS overlap FROM x JOIN y USING (term)")
 def vocab_weighted_overlap(spark, sf):
-    return terms.weighted_overlap(cleaned(spark, sf, "doc_id"), benchmark(spark, sf), "doc_id", "desc_clean", "item_id")
+    return terms.weighted_overlap(read(spark, sf, "documents"), read(spark, sf, "benchmark"), "doc_id", "text", "item_id", clean=t.clean)
 
 
 @query(f"""WITH {TOKENS}, a AS (SELECT DISTINCT lang AS left_group, term FROM tk), b AS (SELECT DISTINCT lang AS right_group, term FROM tk), na AS (SELECT left_group, count(*) AS na FROM a GROUP BY 1), nb AS (SELECT right_group, count(*) AS nb FROM b GROUP BY 1), sh AS (SELECT left_group, right_group, count(*) AS n_shared FROM a JOIN b USING (term) GROUP BY ALL)
@@ -326,41 +332,41 @@ def category_jaccard_matrix(spark, sf):
 @query(f"""WITH {SIDES}, {q_tfidf('p', 'a')}, m AS (SELECT lang, term, sum(w) AS w FROM p JOIN documents d ON d.doc_id = p.id GROUP BY ALL), l AS (SELECT lang, sqrt(sum(w * w)) AS len FROM m GROUP BY lang), d AS (SELECT x.lang AS left_group, y.lang AS right_group, sum(x.w * y.w) AS d FROM m x JOIN m y USING (term) GROUP BY ALL)
 SELECT left_group, right_group, round(d / (x.len * y.len), 6) AS cosine FROM d JOIN l x ON x.lang = left_group JOIN l y ON y.lang = right_group""")
 def category_tfidf_cosine(spark, sf):
-    return terms.group_cosine(cleaned(spark, sf, "doc_id", "lang"), "doc_id", "lang", "desc_clean")
+    return terms.group_cosine(read(spark, sf, "documents"), "doc_id", "lang", "text", clean=t.clean)
 
 
 @query(f"""WITH a AS (SELECT unnest({q_match(q_words(q_clean('text')), SKILL_WORDS)}) AS tag FROM documents), b AS (SELECT unnest({q_match(q_words(q_clean('text')), SKILL_WORDS)}) AS tag FROM conversations), x AS (SELECT tag, count(*) AS supply FROM a GROUP BY tag), y AS (SELECT tag, count(*) AS demand FROM b GROUP BY tag)
 SELECT tag, coalesce(supply, 0) AS supply, coalesce(demand, 0) AS demand, coalesce(demand, 0) - coalesce(supply, 0) AS gap FROM x FULL JOIN y USING (tag)""")
 def skill_supply_demand(spark, sf):
-    sides = [read(spark, sf, n).select(t.skills(t.clean(F.col("text")), SKILL_WORDS).alias("tag")) for n in ("documents", "conversations")]
+    sides = [texts(spark, sf, n).select(t.skills(t.clean(F.col("text")), SKILL_WORDS).alias("tag")) for n in ("documents", "conversations")]
     return p.supply_demand(*sides, "tag")
 
 
 @query(f"WITH {SIDES}, {q_tfidf('p', 'a', GRAMS)} SELECT term, df, cf FROM p_v")
 def tfidf_vocab(spark, sf):
-    return terms.vocabulary(cleaned(spark, sf, "doc_id"), "doc_id", "desc_clean")
+    return terms.vocabulary(terms.dealt(read(spark, sf, "documents"), "doc_id", "text"), "doc_id", "text", clean=t.clean)
 
 
 @query(f"WITH {SIDES}, {q_tfidf('p', 'a', GRAMS)} SELECT id AS doc_id, term, tf, round(w, 6) AS tfidf FROM p")
 def tfidf_weights(spark, sf):
-    return terms.tfidf(cleaned(spark, sf, "doc_id"), "doc_id", "desc_clean").withColumn("tfidf", F.round("tfidf", 6))
+    return terms.tfidf(read(spark, sf, "documents"), "doc_id", "text", clean=t.clean).withColumn("tfidf", F.round("tfidf", 6))
 
 
 def q_nearest(score: str) -> str:
-    return f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings), x AS (SELECT q.vec_id AS query_id, e.vec_id, round({score}, 6) AS sim_score FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id < 10)
+    return f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings), x AS (SELECT q.vec_id AS query_id, e.vec_id, round({score}, 6) AS sim_score FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, sim_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim_score DESC, vec_id) AS rank FROM x) WHERE rank <= 5"""
 
 
 @query(q_nearest("list_inner_product(q.v, e.v)"))
 def vector_top_n_ip(spark, sf):
     e = read(spark, sf, "embeddings")
-    return s.vector_top_n(e, e.where("vec_id < 10"), "vec_id", "embedding", cosine=False)
+    return s.vector_top_n(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", cosine=False)
 
 
 @query(q_nearest("list_cosine_similarity(q.v, e.v)"))
 def vector_top_n_cosine(spark, sf):
     e = read(spark, sf, "embeddings")
-    return s.vector_top_n(e, e.where("vec_id < 10"), "vec_id", "embedding")
+    return s.vector_top_n(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding")
 
 
 @query("SELECT vec_id, round(sqrt(list_inner_product(v, v)), 6) AS length, round(list_inner_product(u, u), 6) AS unit FROM (SELECT vec_id, v, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings))")
@@ -372,7 +378,7 @@ def vector_normalize(spark, sf):
 @query(f"""WITH {SIDES}, {q_tfidf('p', 'a')}, q_r AS (SELECT id, term, count(*) * (ln(((SELECT count(*) FROM a) + 1)::DOUBLE / (df + 1)::DOUBLE) + 1) AS raw FROM (SELECT id, unnest(list_filter(ws, lambda v: length(v) >= 2)) AS term FROM b) JOIN p_v USING (term) GROUP BY id, term, df), q AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM q_r),
 x AS (SELECT q.id AS item_id, p.id AS doc_id, round(sum(p.w * q.w), 6) AS sim_score FROM p JOIN q USING (term) GROUP BY ALL) SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, sim_score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim_score DESC, doc_id) AS rank FROM x) WHERE rank <= 5""")
 def recommend_tfidf_top5(spark, sf):
-    return s.tfidf_top_n(cleaned(spark, sf, "doc_id"), benchmark(spark, sf), "doc_id", "item_id", "desc_clean")
+    return s.tfidf_top_n(read(spark, sf, "documents"), read(spark, sf, "benchmark"), "doc_id", "item_id", "text", clean=t.clean)
 
 
 @query("SELECT doc_id, quality, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) <= ceil(count(*) OVER (PARTITION BY quality) * 0.2) THEN 'test' ELSE 'train' END AS split FROM labels")
@@ -380,11 +386,11 @@ def stratified_split(spark, sf):
     return r.stratified_split(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "quality")
 
 
-@query("SELECT term, n, cf FROM (SELECT unnest(['a', 'b']) AS term, 1 AS n, 2 AS cf) WHERE false UNION ALL (SELECT lang AS term, CAST(1 AS INTEGER) AS n, CAST(2 AS INTEGER) AS cf FROM documents WHERE doc_id < 20) UNION ALL (SELECT role, 1, 2 FROM conversations WHERE conv_id < 20)")
+@query("SELECT term, n, cf FROM (SELECT unnest(['a', 'b']) AS term, 1 AS n, 2 AS cf) WHERE false UNION ALL (SELECT lang AS term, CAST(1 AS INTEGER) AS n, CAST(2 AS INTEGER) AS cf FROM documents) UNION ALL (SELECT role, 1, 2 FROM conversations)")
 def bag_union(spark, sf):
-    a = read(spark, sf, "documents").where("doc_id < 20").select(F.col("lang").alias("term"), F.lit(1).alias("n"), F.lit(2).alias("cf"))
-    b = read(spark, sf, "conversations").where("conv_id < 20").select(F.lit(1).alias("n"), F.col("role").alias("term"), F.lit(2).alias("cf"))
-    return a.unionByName(b)
+    a = read(spark, sf, "documents").select(F.col("lang").alias("term"), F.lit(1).alias("n"), F.lit(2).alias("cf"))
+    b = read(spark, sf, "conversations").select(F.lit(1).alias("n"), F.col("role").alias("term"), F.lit(2).alias("cf"))
+    return r.bag_union(a, b)
 
 
 @query("SELECT doc_id, lang, source, n_chars FROM documents")

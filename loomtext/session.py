@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -19,3 +20,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomtext-"))
     return df.checkpoint(eager=True)
+
+
+#: Inputs up to so many bytes are dealt over all cores; larger ones have splits enough of their own.
+SMALL = 1 << 28
+#: Tables of up to so many rows are broadcast after they were counted; larger ones are shuffled.
+MOST_BROADCAST = 100_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is small: a file of few row groups is read by few tasks. Larger inputs are left as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
+
+
+def small_side(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df``, written once and counted: marked for broadcast up to ``most`` rows, else left to a shuffled join."""
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.count() <= most else kept

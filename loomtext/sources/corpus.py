@@ -7,6 +7,7 @@ that Spark reaches; the manifest is read and written through Spark too.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
@@ -53,9 +54,16 @@ def _fs(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
+def _moved(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"cannot move {source} to {target}")
+
+
 def save_corpus(df: DataFrame, path: str, token_cols: list[str] | None = None, overwrite: bool = True, **options: str) -> str:
     """Writes the corpus and gives its folder.
 
+    All is written to a folder beside it first, which takes its place when it is whole: a job that fails leaves the old
+    corpus as it was, and a corpus may be saved over the folder it was read from.
     FileExistsError if it is there and may not be overwritten; KeyError for a token column that ``df`` has not;
     TypeError for one of another type. ``options`` go to the Parquet writer.
     """
@@ -69,11 +77,16 @@ def save_corpus(df: DataFrame, path: str, token_cols: list[str] | None = None, o
             raise KeyError(c)
         if c not in found:
             raise TypeError(f"{c} is not an array of tokens")
-    fs.delete(at, True)
-    df.write.options(**options).mode("errorifexists").parquet(f"{folder}/data")
-    count = spark.read.parquet(f"{folder}/data").count()
+    mark = uuid.uuid4().hex
+    new, old = f"{folder}.new-{mark}", f"{folder}.old-{mark}"
+    df.write.options(**options).mode("errorifexists").parquet(f"{new}/data")
+    count = spark.read.parquet(f"{new}/data").count()
     manifest = {"version": VERSION, "spark": spark.version, "row_count": count, "columns_order": df.columns, "doc_cols": token_cols if token_cols is not None else found, "schema": json.loads(df.schema.json())}
-    spark.createDataFrame([(json.dumps(manifest, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
+    spark.createDataFrame([(json.dumps(manifest, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{new}/manifest")
+    if fs.exists(at):
+        _moved(fs, at, _fs(spark, old)[1])
+    _moved(fs, _fs(spark, new)[1], at)
+    fs.delete(_fs(spark, old)[1], True)
     return folder
 
 

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,10 +53,33 @@ def test_vector_search_ties_go_to_the_smaller_key_and_self_is_left_out(spark):
     assert [(x.k, x.sim_score) for x in got] == [(1, 1.0), (3, 1.0), (4, 0.0)]
 
 
-def test_too_many_queries_are_refused(spark):
-    df = spark.range(s.MOST_QUERIES + 1).select(F.col("id").alias("k"), F.array(F.lit(1.0)).alias("v"))
-    with pytest.raises(ValueError, match="queries"):
-        s.vector_top_n(df, df, "k", "v")
+def test_queries_in_blocks_give_what_one_block_gives(spark):
+    df = spark.range(40).select(F.col("id").alias("k"), F.array(F.sin("id"), F.cos(F.col("id") * 2), F.lit(0.5)).alias("v"))
+    one, many = (sorted(map(tuple, s.vector_top_n(df, df, "k", "v", 3, block=n).collect())) for n in (1000, 7))
+    assert one == many and len(one) == 120
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 7, 21, 333])
+def test_quantiles_by_brute_force(spark, n):
+    r = np.random.default_rng(n)
+    rows = [(g, float(v)) for g in ("a", None) for v in r.choice(r.normal(size=max(1, n // 2)), n)] + [("none", None)]
+    at = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
+    got = {x.g: x.q for x in p.quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], ["v"], at).collect()}
+    assert set(got) == {"a", None}
+    for g, q in got.items():
+        assert q == pytest.approx(np.quantile([v for k, v in rows if k == g], at))
+    if n == 333:  # a sketch too coarse for its bracket is wide enough still
+        assert p.five_numbers(spark.createDataFrame(rows, "g string, v double"), "g", "v").count() == 3
+
+
+def test_split_of_one_label_by_brute_force(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(i, i % 3 or None) for i in range(500)], "k long, y int")
+    got = {x.k for x in r.stratified_split(df, "k", "y", 0.13).where("split = 'test'").collect()}
+    for y in range(3):
+        own = sorted((k for k in range(500) if k % 3 == y), key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest())
+        assert {k for k in got if k % 3 == y} == set(own[: -(-len(own) * 13 // 100)])
 
 
 def test_recommend_with_an_encoder_from_outside(spark):
@@ -89,8 +113,8 @@ def test_tfidf_top_n_against_a_direct_computation(spark):
 def test_word_frequency_and_pairs(spark):
     df = spark.createDataFrame([("b a a",), (None,), ("b",)], "t string")
     assert [(x.Word, x.Frequency) for x in terms.word_frequency(df, "t").collect()] == [("a", 2), ("b", 2)]
-    row = spark.createDataFrame([("aa x bb cc",)], "t string").select(terms.grams(F.col("t")).alias("g")).first()
-    assert row.g == ["aa", "bb", "cc", "aa bb", "bb cc"]
+    one = spark.createDataFrame([("aa x bb cc",)], "t string")
+    assert [x.term for x in terms.terms_of(one, [], F.col("t")).collect()] == ["aa", "bb", "cc", "aa bb", "bb cc"]
 
 
 def test_profiles_of_an_empty_table(spark):

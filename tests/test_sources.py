@@ -105,3 +105,19 @@ def test_settings_make_folders_only_when_asked(tmp_path):
     s = Settings(root=str(tmp_path))
     assert not list(tmp_path.iterdir())
     assert all(x.is_dir() for x in s.init_dirs()) and s.folder("corpus/jobs").endswith("corpus/jobs")
+
+
+def test_a_corpus_can_be_saved_over_the_folder_it_was_read_from(spark, tmp_path):
+    path = str(tmp_path / "c")
+    c.save_corpus(spark.range(5).selectExpr("id", "'x' AS t"), path)
+    c.save_corpus(c.load_corpus(spark, path).selectExpr("id + 1 AS id", "t"), path)
+    assert sorted(x.id for x in c.load_corpus(spark, path).collect()) == [1, 2, 3, 4, 5]
+    assert [x.name for x in tmp_path.iterdir()] == ["c"]
+
+
+def test_a_failed_save_leaves_the_old_corpus(spark, tmp_path):
+    path = str(tmp_path / "c")
+    c.save_corpus(spark.range(3).selectExpr("id"), path)
+    with pytest.raises(Exception, match="nothing"):
+        c.save_corpus(spark.range(3).selectExpr("raise_error('nothing') AS id"), path)
+    assert c.load_corpus(spark, path).count() == 3
