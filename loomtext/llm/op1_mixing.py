@@ -51,10 +51,10 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
 
     A null source is a source of its own, last in code-point order; null text has size 0; documents of size
     0 are copied like others of their source (they carry no words) and a source without words has target 0.
-    Repeated rows are sampled one by one. Equal inputs give equal results whatever the partitioning, as all
+    Repeated rows are sampled one by one, rows that share an id in the order of size and then of a hash of the text. Equal inputs give equal results whatever the partitioning, as all
     choices come from keys.
     """
-    docs = df.withColumn("__size", word_count(F.col(text))).withColumn("__src", F.col(source)).withColumn("__id", F.col(key)).withColumn("__salt", hash_bucket(F.col(key), SALTS)).withColumn("__class", size_class(F.col("__size")))
+    docs = df.withColumn("__size", word_count(F.col(text))).withColumn("__src", F.col(source)).withColumn("__id", F.col(key)).withColumn("__salt", hash_bucket(F.col(key), SALTS)).withColumn("__class", size_class(F.col("__size"))).withColumn("__tie", F.xxhash64(text))
     # Written once: all targets and starts come from these counts, so the texts are read for them once only.
     cells = saved(docs.groupBy("__src", "__class", "__salt").agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("__words")))
     per_class = cells.groupBy("__src", "__class").agg(F.sum("__n").alias("__cn"), F.sum("__words").alias("__cw"))
@@ -68,7 +68,7 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
     starts = starts.select(F.col("__src").alias("__s3"), F.col("__class").alias("__c3"), F.col("__salt").alias("__a3"), (F.col("__before") + F.col("__within")).alias("__start"))
     rated = targets.select(F.col("__src").alias("__s4"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__u", "__rate")
     starts = starts.join(rated, F.col("__s3").eqNullSafe(F.col("__s4")))
-    own = F.row_number().over(W.partitionBy("__src", "__class", "__salt").orderBy("__size", "__id"))
+    own = F.row_number().over(W.partitionBy("__src", "__class", "__salt").orderBy("__size", "__id", "__tie"))
     placed = docs.withColumn("__own", own).join(starts, F.col("__src").eqNullSafe(F.col("__s3")) & (F.col("__class") == F.col("__c3")) & (F.col("__salt") == F.col("__a3")))
     place = F.col("__own") + F.col("__start")
     copies = F.floor(F.col("__rate") * place + F.col("__u")) - F.floor(F.col("__rate") * (place - 1) + F.col("__u"))

@@ -22,6 +22,8 @@ from .common import map_arrow, table
 WIDTH = 64
 ROW = WIDTH * 3
 HASH_ROWS, HASH_COLUMNS = 8, 9
+#: Pixel rows that are summed at a time, and bytes of media that go on at a time.
+STRIP, CHUNK = 4096, 4 << 20
 
 
 def encode_ppm(payload: bytes, width: int = WIDTH) -> bytes:
@@ -78,26 +80,34 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
-def area_resize(grey: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    """Exact area means of a 2-d array, from its integral image with fractional edges."""
-    h, w = grey.shape
-    total = np.zeros((h + 1, w + 1))
-    total[1:, 1:] = grey.astype(np.float64).cumsum(0).cumsum(1)
+def _summed(integral: np.ndarray, parts: int) -> np.ndarray:
+    """Differences of an integral (zero first, along axis 0) between the ``parts`` + 1 fractional edges."""
+    edges = np.arange(parts + 1) * (len(integral) - 1) / parts
+    lo = np.minimum(edges.astype(np.int64), len(integral) - 2)
+    f = (edges - lo)[:, None]
+    return np.diff(integral[lo] * (1 - f) + integral[lo + 1] * f, axis=0)
 
-    def at(edges: np.ndarray, a: np.ndarray) -> np.ndarray:
-        lo = np.minimum(edges.astype(np.int64), a.shape[0] - 2)
-        f = (edges - lo)[:, None]
-        return a[lo] * (1 - f) + a[lo + 1] * f
 
-    ys, xs = np.arange(rows + 1) * h / rows, np.arange(columns + 1) * w / columns
-    s = at(xs, at(ys, total).T).T
-    return (s[1:, 1:] - s[:-1, 1:] - s[1:, :-1] + s[:-1, :-1]) / ((h / rows) * (w / columns))
+def area_resize(image: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """Exact area means of an image (height, width, channels), channels averaged, from integrals with fractional edges.
+
+    The integral along the columns is formed for STRIP rows at a time and reduced to ``columns`` sums at once; that
+    along the rows holds only these.
+    """
+    h, w, c = image.shape
+    total = np.zeros((h + 1, columns))
+    for i in range(0, h, STRIP):
+        part = image[i : i + STRIP].sum(axis=2, dtype=np.int64)
+        across = np.zeros((w + 1, len(part)))
+        np.cumsum(part.T, axis=0, out=across[1:])
+        total[i + 1 : i + 1 + len(part)] = _summed(across, columns).T
+    np.cumsum(total, axis=0, out=total)
+    return _summed(total, rows) / (c * (h / rows) * (w / columns))
 
 
 def thumbnail(pixels: np.ndarray) -> np.ndarray:
     """The 8 x 9 grey area means of an image, rounded to uint8."""
-    grey = pixels.astype(np.float64).mean(axis=2)
-    return np.rint(area_resize(grey, HASH_ROWS, HASH_COLUMNS)).astype(np.uint8)
+    return np.rint(area_resize(pixels, HASH_ROWS, HASH_COLUMNS)).astype(np.uint8)
 
 
 def difference_hash(small: np.ndarray) -> str:
@@ -120,9 +130,15 @@ def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
 
     def encode(keys, texts):
-        raw = [(t or "").encode() for t in texts.to_pylist()]
-        media = [encode_ppm(b + b" " * (-len(b) % ROW if b else ROW)) for b in raw]
-        yield {"__key": keys, "n_bytes": [len(b) for b in raw], "media": media}
+        media, sizes, begin, held = [], [], 0, 0
+        for i, t in enumerate(texts):
+            raw = (t.as_py() or "").encode()
+            sizes.append(len(raw))
+            media.append(encode_ppm(raw + b" " * (-len(raw) % ROW if raw else ROW)))
+            held += len(media[-1])
+            if held > CHUNK or i == len(texts) - 1:
+                yield {"__key": keys.slice(begin, len(media)), "n_bytes": sizes, "media": media}
+                media, sizes, begin, held = [], [], i + 1, 0
 
     kind = df.select(key).schema[0].dataType.simpleString()
     return map_arrow(df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")), ["__key", "__text"], f"__key {kind}, n_bytes long, media binary", encode).withColumnRenamed("__key", key)

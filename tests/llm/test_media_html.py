@@ -49,7 +49,7 @@ def test_area_means(h, w, rows, columns):
     a = np.random.default_rng(1).uniform(0, 255, (h, w))
     fine = np.kron(a, np.ones((rows, columns)))
     want = fine.reshape(rows, h, columns, w).mean(axis=(1, 3))
-    assert np.allclose(o8.area_resize(a, rows, columns), want)
+    assert np.allclose(o8.area_resize(a[:, :, None], rows, columns), want)
 
 
 def texts_of(spark, pages):
