@@ -1,12 +1,12 @@
-"""Tokens with lemmas: a dictionary by default, or any callable as a pandas UDF.
+"""Tokens with lemmas: a dictionary and English endings by default, or any callable as a pandas UDF.
 
-The dictionary lemmatizer is not equivalent to a trained language model; it looks words up and strips a
-few English endings.
+The dictionary lemmatizer is not equivalent to a trained language model: it looks words up (irregular forms), and of
+others takes off regular plural and verb endings, knowing no parts of speech.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
@@ -18,6 +18,25 @@ from .text import words
 TOKEN_TYPE = "struct<text:string,lemma:string,is_alpha:boolean,is_stop:boolean>"
 DOC_TYPE = f"array<{TOKEN_TYPE}>"
 RESULT_TYPE = f"struct<terms:string,lemmas:string,tokens:{DOC_TYPE}>"
+#: Irregular English forms by lemma.
+IRREGULAR: Mapping[str, str] = {
+    form: lemma
+    for lemma, forms in {
+        "be": "am is are was were been being", "have": "has had having", "do": "does did done doing", "go": "goes went gone", "make": "made making",
+        "take": "took taken taking", "give": "gave given giving", "write": "wrote written writing", "lead": "led", "build": "built", "know": "knew known",
+        "find": "found", "get": "got gotten getting", "see": "saw seen", "run": "ran running", "man": "men", "woman": "women", "child": "children", "person": "people", "foot": "feet", "datum": "data", "analysis": "analyses", "good": "better best",
+    }.items()
+    for form in forms.split()
+}
+#: Endings in the order they are tried: the first that fits a lower-cased word is replaced.
+ENDINGS: tuple[tuple[str, str], ...] = (
+    (r"(ss|us|is|ous)$", r"\1"),
+    (r"([a-z]{2})ie[sd]$", r"\1y"),
+    (r"(x|z|ch|sh|ss)es$", r"\1"),
+    (r"([a-z]{2}[^s])s$", r"\1"),
+    (r"([a-z][aeiouy][a-z]*?)(bb|dd|gg|ll|mm|nn|pp|rr|tt)(?:ing|ed)$", r"\1\2"),
+    (r"([a-z]*[aeiouy][a-z]*[a-z])(?:ing|ed)$", r"\1"),
+)
 #: The word table is kept as a map literal up to this many entries.
 MOST_ENTRIES = 10_000
 
@@ -28,15 +47,23 @@ def stop_words(spark: SparkSession) -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def dictionary_lemmas(text: Column, stops: list[str], lexicon: Mapping[str, str]) -> Column:
-    """(terms, lemmas, tokens) of a text without leaving the JVM: each word looked up in ``lexicon``, else itself."""
+def without_ending(word: Column, endings: Sequence[tuple[str, str]] = ENDINGS) -> Column:
+    """A word with the first of the ``endings`` that fits replaced."""
+    out = word
+    for pattern, by in reversed(endings):
+        out = F.when(word.rlike(pattern), F.regexp_replace(word, pattern, by.replace("\\", "$"))).otherwise(out)
+    return out
+
+
+def dictionary_lemmas(text: Column, stops: list[str], lexicon: Mapping[str, str] = IRREGULAR, endings: Sequence[tuple[str, str]] = ENDINGS) -> Column:
+    """(terms, lemmas, tokens) of a text without leaving the JVM: each word looked up in ``lexicon``, else without its ending."""
     if len(lexicon) > MOST_ENTRIES:
         raise ValueError(f"a lexicon of more than {MOST_ENTRIES} entries needs a lemmatizer UDF")
     table = F.create_map(*[F.lit(x) for kv in lexicon.items() for x in kv]) if lexicon else F.expr("CAST(map() AS map<string, string>)")
     listed = F.array(*[F.lit(s) for s in stops]) if stops else F.array().cast("array<string>")
 
     def token(w: Column) -> Column:
-        return F.struct(w.alias("text"), F.coalesce(F.try_element_at(table, w), w).alias("lemma"), w.rlike(r"^\p{L}+$").alias("is_alpha"), F.array_contains(listed, w).alias("is_stop"))
+        return F.struct(w.alias("text"), F.coalesce(F.try_element_at(table, w), without_ending(w, endings)).alias("lemma"), w.rlike(r"^\p{L}+$").alias("is_alpha"), F.array_contains(listed, w).alias("is_stop"))
 
     return assembled(F.transform(words(text), token))
 

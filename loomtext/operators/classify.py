@@ -10,7 +10,9 @@ from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..session import checkpointed, spread
 from .relational import stratified_split
 from .terms import MIN_DF, SIZE
 
@@ -21,7 +23,8 @@ def train(df: DataFrame, key: str, text: str, label: str, path: str | None = Non
     Tokens are lower-cased runs of two and more word characters; features are their counts and those of
     neighbouring pairs, weighed by idf and scaled to length 1; the vocabulary is fitted on the training part.
     """
-    parts = stratified_split(df, key, label, seed=seed)
+    # Written once: the fits below read the training part over and over.
+    parts = checkpointed(spread(stratified_split(df, key, label, seed=seed)))
     fit, test = parts.where("split = 'train'").drop("split"), parts.where("split = 'test'").drop("split")
     labels = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(fit)
     n = fit.count()
@@ -43,6 +46,14 @@ def train(df: DataFrame, key: str, text: str, label: str, path: str | None = Non
     return model, test
 
 
+def metrics(predicted: DataFrame, label: str) -> DataFrame:
+    """One row: rows, accuracy, the share of the largest class, and the mean recall of the classes (balanced accuracy)."""
+    hit = (F.col(label) == F.col("predicted")).cast("double")
+    each = predicted.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("recall"))
+    total = F.sum("n")
+    return each.agg(total.alias("n"), (F.sum(F.col("n") * F.col("recall")) / total).alias("accuracy"), (F.max("n") / total).alias("base_rate"), F.avg("recall").alias("balanced_accuracy"))
+
+
 def load(path: str) -> PipelineModel:
     """A saved model."""
     return PipelineModel.load(path)

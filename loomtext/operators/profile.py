@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -144,3 +144,21 @@ def supply_demand(supply: DataFrame, demand: DataFrame, tag: str) -> DataFrame:
     both = sides[0].join(sides[1], tag, "full")
     a, b = F.coalesce("supply", F.lit(0)).cast("long"), F.coalesce("demand", F.lit(0)).cast("long")
     return both.select(tag, a.alias("supply"), b.alias("demand"), (b - a).alias("gap"))
+
+
+def supply_demand_by(supply: DataFrame, demand: DataFrame, domain: str, tag: str) -> DataFrame:
+    """``supply_demand`` per domain; both inputs have a column ``domain`` beside the array column ``tag``."""
+    sides = [df.select(domain, F.explode(tag).alias(tag)).groupBy(domain, tag).agg(F.count(F.lit(1)).alias(n)) for n, df in (("supply", supply), ("demand", demand))]
+    both = sides[0].join(sides[1], [domain, tag], "full")
+    a, b = F.coalesce("supply", F.lit(0)).cast("long"), F.coalesce("demand", F.lit(0)).cast("long")
+    return both.select(domain, tag, a.alias("supply"), b.alias("demand"), (b - a).alias("gap"))
+
+
+def pruned(df: DataFrame, text: str, key: str, flags: tuple[str, ...] = ("is_empty", "is_short")) -> DataFrame:
+    """The rows that none of the ``flags`` (boolean columns; null counts as false) marks, one of equal texts: that of the smallest key.
+
+    Equal texts are known by SHA-256, so no text is shuffled. Rows with a null text are marked or kept like others.
+    """
+    good = df.where(~reduce(or_, [F.coalesce(F.col(f), F.lit(False)) for f in flags])).withColumn("__h", F.coalesce(F.sha2(text, 256), F.lit("")))
+    first = good.groupBy("__h").agg(F.min(key).alias("__first")).withColumnRenamed("__h", "__g")
+    return good.join(first, (F.col("__h") == F.col("__g")) & F.col(key).eqNullSafe(F.col("__first")), "left_semi").drop("__h")

@@ -48,12 +48,20 @@ def word_frequency(df: DataFrame, text: str, n: int = 10) -> DataFrame:
     return counts.orderBy(F.col("Frequency").desc(), "term").limit(n).select(F.col("term").alias("Word"), "Frequency")
 
 
-def term_weights(df: DataFrame, group: str, text: str, n: int = 20, stops: tuple[str, ...] = (), longest: int = 1) -> DataFrame:
-    """Per group the ``n`` most frequent terms and their counts relative to the first: what a word cloud draws."""
+def term_weights(df: DataFrame, group: str, text: str, n: int = 20, stops: tuple[str, ...] = (), longest: int = 1, plurals: bool = False) -> DataFrame:
+    """Per group the ``n`` most frequent terms and their counts relative to the first: what a word cloud draws.
+
+    With ``plurals`` a term that ends in one s counts for the term without it, where the group has that too.
+    """
     terms = terms_of(df, [group], F.col(text), longest)
     if stops:
         terms = terms.where(~F.col("term").isin(*stops))
     counts = terms.groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
+    if plurals:
+        bare = F.when(F.col("term").rlike("[^s]s$"), F.expr("left(term, char_length(term) - 1)"))
+        one = counts.select(F.col(group).alias("__g"), F.col("term").alias("__one"))
+        told = counts.withColumn("__bare", bare).join(one, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__bare") == F.col("__one")), "left")
+        counts = told.groupBy(group, F.coalesce("__one", "term").alias("term")).agg(F.sum("n").alias("n"))
     own = W.partitionBy(group).orderBy(F.col("n").desc(), "term")
     ranked = counts.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= n)
     top = F.max("n").over(W.partitionBy(group))

@@ -5,7 +5,7 @@ The text tables hold invented words, so vocabulary queries are given words that
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import lemma, text as t, vectors
 from ..functions.features import with_features
 from ..operators import classify, profile as p, relational as r, similarity as s, terms
-from ..session import spread
+from ..session import shared_folder, spread
+from ..sources import delimited
 from ..sources.corpus import load_corpus, save_corpus
 from . import pipeline
 
@@ -395,25 +396,125 @@ def bag_union(spark, sf):
 
 @query("SELECT doc_id, lang, source, n_chars FROM documents")
 def corpus_roundtrip(spark, sf):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomtext-")
-    folder = save_corpus(read(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"), f"{base}/roundtrip-{spark.sparkContext.applicationId}.parquet")
-    return load_corpus(spark, folder)
+    at = save_corpus(read(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"), f"{folder(spark, 'roundtrip')}.parquet")
+    return load_corpus(spark, at)
+
+
+def trained(spark: SparkSession, sf: str, path: str | None = None):
+    docs, labels = read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
+    return classify.train(docs.join(labels, "doc_id"), "doc_id", "text", "quality", path)
 
 
 @query()
 def classifier_train_predict(spark, sf):
-    docs, labels = read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
-    model, test = classify.train(docs.join(labels, "doc_id"), "doc_id", "text", "quality")
+    model, test = trained(spark, sf)
     return classify.predict(model, test).select("doc_id", "quality", "predicted")
 
 
-@query(f"""WITH {D_CLEAN}, k AS (SELECT doc_id, ws, list_transform(ws, lambda v: CASE v WHEN 'is' THEN 'be' WHEN 'was' THEN 'be' WHEN 'are' THEN 'be' ELSE v END) AS ls FROM w)
+@query()
+def classifier_metrics(spark, sf):
+    model, test = trained(spark, sf)
+    return classify.metrics(classify.predict(model, test), "quality")
+
+
+def q_lemma(w: str) -> str:
+    cases = " ".join(f"WHEN {w} = '{form}' THEN '{by}'" for form, by in lemma.IRREGULAR.items())
+    cases += " " + " ".join(f"WHEN regexp_matches({w}, '{x}') THEN regexp_replace({w}, '{x}', '{y}')" for x, y in lemma.ENDINGS)
+    return f"CASE {cases} ELSE {w} END"
+
+
+@query(f"""WITH {D_CLEAN}, u AS (SELECT DISTINCT unnest(ws) AS word FROM w), m AS (SELECT map_from_entries(list((word, {q_lemma('word')}))) AS t FROM u), k AS (SELECT doc_id, ws, list_transform(ws, lambda v: t[v]) AS ls FROM w, m)
 SELECT doc_id, array_to_string(ws, ' ') AS terms, array_to_string(list_transform(list_filter(list_zip(ws, ls), lambda z: NOT list_contains(['the', 'of', 'and', 'is'], z[1])), lambda z: z[2]), ' ') AS lemmas, CAST(len(ws) AS BIGINT) AS n_tokens FROM k""")
 def lemmatize(spark, sf):
-    found = lemma.dictionary_lemmas(F.col("desc_clean"), ["the", "of", "and", "is"], {"is": "be", "was": "be", "are": "be"})
+    found = lemma.dictionary_lemmas(F.col("desc_clean"), ["the", "of", "and", "is"])
     return cleaned(spark, sf, "doc_id").withColumn("l", found).select("doc_id", "l.terms", "l.lemmas", F.size("l.tokens").cast("long").alias("n_tokens"))
 
 
+STOPS = ("the", "of", "and", "is", "la", "und", "der", "que")
+
+
+@query(f"""WITH {D_CLEAN}, tk AS (SELECT lang, unnest(list_filter(ws, lambda v: length(v) >= 2)) AS term FROM w), n AS (SELECT lang, term, count(*) AS n FROM tk WHERE term NOT IN ({', '.join(f"'{x}'" for x in STOPS)}) GROUP BY ALL),
+m AS (SELECT a.lang, coalesce(b.term, a.term) AS term, CAST(sum(a.n) AS BIGINT) AS n FROM n a LEFT JOIN n b ON a.lang = b.lang AND regexp_matches(a.term, '[^s]s$') AND b.term = left(a.term, length(a.term) - 1) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rank FROM m)
+SELECT lang, CAST(rank AS INTEGER) AS rank, term, n, n::DOUBLE / max(n) OVER (PARTITION BY lang)::DOUBLE AS weight FROM k WHERE rank <= 40""")
+def word_cloud_plurals(spark, sf):
+    return terms.term_weights(cleaned(spark, sf, "lang"), "lang", "desc_clean", 40, STOPS, plurals=True)
+
+
+@query(f"WITH a AS (SELECT doc_id, text, sha256(text) AS h, trim(coalesce(text, '')) = '' OR len({q_words('text')}) < 20 AS gone FROM documents), f AS (SELECT h, min(doc_id) AS doc_id FROM a WHERE NOT gone GROUP BY h) SELECT a.doc_id, a.h AS text_sha FROM a JOIN f USING (doc_id)")
+def qa_pruned(spark, sf):
+    docs = texts(spark, sf)
+    flagged = p.text_flags(docs, "text", "n_chars", F.array().cast("array<string>"))
+    return p.pruned(flagged, "text", "doc_id").select("doc_id", F.sha2("text", 256).alias("text_sha"))
+
+
+@query(f"""WITH a AS (SELECT lang, unnest({q_match(q_words(q_clean('text')), SKILL_WORDS)}) AS tag FROM documents WHERE doc_id % 2 = 0), b AS (SELECT lang, unnest({q_match(q_words(q_clean('text')), SKILL_WORDS)}) AS tag FROM documents WHERE doc_id % 2 = 1), x AS (SELECT lang, tag, count(*) AS supply FROM a GROUP BY ALL), y AS (SELECT lang, tag, count(*) AS demand FROM b GROUP BY ALL)
+SELECT lang, tag, coalesce(supply, 0) AS supply, coalesce(demand, 0) AS demand, coalesce(demand, 0) - coalesce(supply, 0) AS gap FROM x FULL JOIN y USING (lang, tag)""")
+def skill_gap_by_domain(spark, sf):
+    tagged = texts(spark, sf).select("doc_id", "lang", t.skills(t.clean(F.col("text")), SKILL_WORDS).alias("tag"))
+    return p.supply_demand_by(tagged.where("doc_id % 2 = 0"), tagged.where("doc_id % 2 = 1"), "lang", "tag")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared place that the session names for checkpoints."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id AS job_id, source AS title, text AS description FROM documents")
+def csv_postings(spark, sf):
+    path = folder(spark, "postings")
+    delimited.write_csv(read(spark, sf, "documents").select("lang", F.col("source").alias("title"), F.col("text").alias("description"), F.col("doc_id").alias("job_id")), path)
+    return delimited.read_csv(spark, path, delimited.POSTINGS)
+
+
+@query("SELECT doc_id AS ID, text AS Resume_str, '<p>' || source || '</p>' AS Resume_html, lang AS Category FROM documents")
+def csv_resumes(spark, sf):
+    path = folder(spark, "resumes")
+    delimited.write_csv(read(spark, sf, "documents").select(F.col("doc_id").alias("ID"), F.col("text").alias("Resume_str"), F.concat(F.lit("<p>"), "source", F.lit("</p>")).alias("Resume_html"), F.col("lang").alias("Category")), path)
+    return delimited.read_csv(spark, path, delimited.RESUMES)
+
+
+@query("SELECT l_orderkey AS job_id, l_returnflag AS skill_abr, CASE l_returnflag WHEN 'A' THEN 'Alpha' WHEN 'N' THEN 'November' END AS skill_name FROM lineitem")
+def csv_links_and_mapping(spark, sf):
+    links_at, names_at = folder(spark, "job_skills"), folder(spark, "skills")
+    delimited.write_csv(read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_returnflag").alias("skill_abr")), links_at)
+    delimited.write_csv(spark.createDataFrame([("A", "Alpha"), ("N", "November")], delimited.SKILL_NAMES), names_at)
+    return r.map_codes(delimited.read_csv(spark, links_at, delimited.SKILL_LINKS), delimited.read_csv(spark, names_at, delimited.SKILL_NAMES), "skill_abr")
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS _row_pos, doc_id, source FROM documents")
+def csv_processed(spark, sf):
+    path = folder(spark, "processed")
+    delimited.write_csv(read(spark, sf, "documents").select("doc_id", "source"), path)
+    return delimited.read_processed(spark, path, "doc_id bigint, source string", "doc_id")
+
+
+@query("WITH s AS (SELECT quality, row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) <= ceil(count(*) OVER (PARTITION BY quality) * 0.2) AS test FROM documents JOIN labels USING (doc_id)) SELECT count(*) AS n_test, 0::BIGINT AS n_different FROM s WHERE test")
+def classifier_saved_and_loaded(spark, sf):
+    path = folder(spark, "classifier")
+    model, test = trained(spark, sf, path)
+    a, b = (classify.predict(m, test).select("doc_id", F.col("predicted").alias(n)) for m, n in ((model, "a"), (classify.load(path), "b")))
+    return a.join(b, "doc_id").agg(F.count(F.lit(1)).alias("n_test"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("n_different"))
+
+
+LETTERS = "abcdefgh"
+
+
+def letter_counts():
+    """A stand-in for an encoder from outside: how often each of a few letters is in a text."""
+    return lambda texts: [[float(x.count(c)) for c in LETTERS] for x in texts]
+
+
+Q_COUNTS = "[" + ", ".join(f"(length(x) - length(replace(x, '{c}', '')))::DOUBLE" for c in LETTERS) + "]"
+
+
+@query(f"""WITH {D_CLEAN}, v AS (SELECT doc_id, {Q_COUNTS} AS v FROM c), q AS (SELECT {Q_COUNTS} AS q FROM (SELECT {q_clean("'A bad cab had a fed egg, deaf beach hag'")} AS x)), s AS (SELECT doc_id, CASE WHEN list_inner_product(v, v) = 0 THEN 0.0 ELSE list_inner_product(v, q) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q))) END AS sim FROM v, q)
+SELECT doc_id, round(sim, 9) AS sim_score FROM s ORDER BY sim DESC, doc_id LIMIT 5""")
+def recommend_one_text(spark, sf):
+    encode = s.encoder(letter_counts)
+    items = cleaned(spark, sf, "doc_id").select("doc_id", encode(F.col("desc_clean")).alias("v"))
+    return s.recommend("A bad cab had a fed egg, deaf beach hag", items, "doc_id", "v", encode).select("doc_id", F.round("sim_score", 9).alias("sim_score"))
+
+
 @query("SELECT doc_id, 'report not available' AS report FROM documents")
 def report_stub(spark, sf):
     return read(spark, sf, "documents").select("doc_id", t.report(F.col("text")).alias("report"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +15,24 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     return SparkSession.builder.master(f"local[{cpus}]").appName("loomtext").config(map=conf).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names. Only a session on one machine may go without: it gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return named or _temporary()
+
+
+@cache
+def _temporary() -> str:
+    return tempfile.mkdtemp(prefix="loomtext-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's shared checkpoint folder (a temporary one only where none is named)."""
+    """``df`` written to the session's shared checkpoint folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomtext-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
