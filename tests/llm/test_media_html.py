@@ -46,8 +46,8 @@ def test_bmp_and_netpbm_decode_alike(h, w):
 
 @pytest.mark.parametrize(("h", "w", "rows", "columns"), [(16, 18, 8, 9), (1, 1, 8, 9), (5, 7, 8, 9), (100, 64, 8, 9)])
 def test_area_means(h, w, rows, columns):
-    a = np.random.default_rng(1).uniform(0, 255, (h, w))
-    fine = np.kron(a, np.ones((rows, columns)))
+    a = np.random.default_rng(1).integers(0, 256, (h, w), dtype=np.uint8)
+    fine = np.kron(a.astype(float), np.ones((rows, columns)))
     want = fine.reshape(rows, h, columns, w).mean(axis=(1, 3))
     assert np.allclose(o8.area_resize(a[:, :, None], rows, columns), want)
 
