@@ -7,7 +7,6 @@ folder that the session names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: ASCII white space, as every word rule of this package means it.
 SPACES = "\\x20\\x09-\\x0D"
 
@@ -27,14 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that later steps neither recompute nor lose it.
 
-    The folder comes from the session's ``spark.checkpoint.dir``; only where that is unset (unit
-    tests) is a temporary one made.
+    The folder comes from the session's ``spark.checkpoint.dir``; only a session on one machine (unit tests) may go without.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomtext-"))
-    return df.checkpoint(eager=True)
+    return checkpointed(df)
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named c0, c1, ..., which no working column is, and the new name of each."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def renamed_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of a ``numbered`` table under their own names."""
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def word_count(text: Column) -> Column:

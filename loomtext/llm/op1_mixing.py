@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import hash_bucket, saved, table, word_count
+from .common import hash_bucket, numbered, renamed_back, saved, table, word_count
 
 SALTS = 64
 MOST = 3
@@ -75,10 +75,11 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
     return placed.withColumn("__copies", F.least(copies, F.lit(MOST)).cast("int")).select(*df.columns, "__size", "__source_size", "__target", "__copies")
 
 
-def mixed_documents(df: DataFrame, **options) -> DataFrame:
-    """The mixture itself: every row of ``df`` as often as it was drawn, with its own columns only."""
-    drawn = mix(df, **options)
-    return drawn.withColumn("__copy", F.explode(F.expr("slice(array(1, 2, 3), 1, __copies)"))).select(*df.columns)
+def mixed_documents(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """The mixture itself: every row of ``df`` as often as it was drawn, with its own columns only, whatever these are called."""
+    plain, names = numbered(df)
+    drawn = mix(plain, names[source], names[text], names[key], **options)
+    return renamed_back(drawn.withColumn("__copy", F.explode(F.expr("slice(array(1, 2, 3), 1, __copies)"))), names)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

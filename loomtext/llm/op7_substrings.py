@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .banding import gathered, links
-from .common import components, dealt_anew, saved, table
+from .common import components, dealt_anew, numbered, saved, table
 
 SHINGLE = 5
 BANDS, BAND_ROWS = 8, 3
@@ -282,6 +282,8 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     Rows that had no word before stay as they are. A cut takes the passage's bytes; the white space around it stays.
     """
+    df, own_names = numbered(df)
+    key, text = own_names[key], own_names[text]
     gone = passages(df, key, text).where("removed").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts")).withColumnRenamed("__row", "__cut_row")
     kept = [c for c in df.columns if c != text]
     joined = df.withColumn("__row", F.xxhash64(F.col(key), F.col(text))).join(gone, F.col("__row") == F.col("__cut_row"), "left")
@@ -309,7 +311,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     schema = ", ".join(f"{n} {'string' if i == 0 else kinds[kept[i - 1]]}" for i, n in enumerate(names))
     done = joined.select(F.col(text).cast("string"), "__cuts", *kept).mapInArrow(cut, schema)
     back = dict(zip([text, *kept], names, strict=True))
-    return done.select(*[F.col(back[c]).alias(c) for c in df.columns])
+    return done.select(*[F.col(back[n]).alias(c) for c, n in own_names.items()])
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
