@@ -400,9 +400,9 @@ def corpus_roundtrip(spark, sf):
     return load_corpus(spark, at)
 
 
-def trained(spark: SparkSession, sf: str, path: str | None = None):
+def trained(spark: SparkSession, sf: str, path: str | None = None, **options):
     docs, labels = read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
-    return classify.train(docs.join(labels, "doc_id"), "doc_id", "text", "quality", path)
+    return classify.train(docs.join(labels, "doc_id"), "doc_id", "text", "quality", path, **options)
 
 
 @query()
@@ -413,7 +413,7 @@ def classifier_train_predict(spark, sf):
 
 @query()
 def classifier_metrics(spark, sf):
-    model, test = trained(spark, sf)
+    model, test = trained(spark, sf, balanced=True, iterations=50)
     return classify.metrics(classify.predict(model, test), "quality")
 
 
