@@ -116,30 +116,40 @@ def _listed(x: np.ndarray, like: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), like.value_type))
 
 
+def _drawn(rows: DataFrame, wanted: dict[int, tuple[int, int]], salt: int) -> dict[int, list]:
+    """Per vector length d, ``wanted[d][0]`` of its ``wanted[d][1]`` rows (all, if fewer) in the order of a hash.
+
+    Only rows of a low hash, about four times as many as wanted, are ranked, however many tasks read the rows.
+    """
+    if not wanted:
+        return {}
+    most, bar = (F.create_map(*[F.lit(x) for d, v in of.items() for x in (d, v)]) for of in ({d: k for d, (k, _) in wanted.items()}, {d: min(1 << 40, -(-4 * k * (1 << 40) // max(1, n))) for d, (k, n) in wanted.items()}))
+    low = rows.where(F.col("d").isin(list(wanted))).withColumn("h", F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(1 << 40))).where(F.col("h") < bar[F.col("d")])
+    place = F.row_number().over(W.partitionBy("d").orderBy("h", "id", "v"))
+    found = low.withColumn("place", place).where(F.col("place") <= max(k for k, _ in wanted.values())).where(F.col("place") <= most[F.col("d")]).select("d", "id", "v", "place").collect()
+    return {d: sorted((r for r in found if r["d"] == d), key=lambda r: r["place"]) for d in wanted}
+
+
 def _plans(rows: DataFrame, pivots: int, prefix: int, sample: int, share: float, k: int, unit: int) -> dict[int, dict]:
     """Per vector length (the MOST_LENGTHS most frequent): pivots, sample, share to rerank and number of units."""
-    counts = {r["d"]: r["n"] for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "d").limit(MOST_LENGTHS).collect()}
-    total = sum(counts.values())
-    quotas = {d: max(MOST_LENGTHS, -(-sample * n // total)) for d, n in counts.items()}
-    place = F.row_number().over(W.partitionBy("d").orderBy(F.xxhash64("id"), "id", "v"))
-    quota = F.create_map(*[F.lit(int(x)) for p in quotas.items() for x in p]) if quotas else F.lit(None)
-    drawn = rows.where(F.col("d").isin(list(quotas))).withColumn("place", place).where(F.col("place") <= max(quotas.values(), default=0)).where(F.col("place") <= quota[F.col("d")]).select("d", "v", "place").collect() if quotas else []
+    counts = {r["d"]: (r["n"], r["a"]) for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("q"), 1)).alias("a")).orderBy(F.col("n").desc(), "d").limit(MOST_LENGTHS).collect()}
+    total = sum(n for n, _ in counts.values())
+    drawn = _drawn(rows, {d: (max(MOST_LENGTHS, -(-sample * n // total)), n) for d, (n, _) in counts.items()}, 0)
     out = {}
-    for d, n in counts.items():
-        own = np.array([r["v"] for r in sorted((r for r in drawn if r["d"] == d), key=lambda r: r["place"])], dtype=np.float64)
+    for d, (n, asked) in counts.items():
+        own = np.array([r["v"] for r in drawn[d]], dtype=np.float64)
         p = farthest_first(own, pivots)
         units = min(len(p), max(LEAST_UNITS, -(-n // unit)))
-        out[d] = {"pivots": p, "prefix": min(prefix, len(p)), "sample": own, "share": min(1.0, max(share, LEAST * k / n)), "units": units, "rows": n, "visits": units}
+        out[d] = {"pivots": p, "prefix": min(prefix, len(p)), "sample": own, "share": min(1.0, max(share, LEAST * k / n)), "units": units, "rows": n, "asked": asked, "visits": units}
     return out
 
 
 def _probed(rows: DataFrame, plan: dict[int, dict], k: int, probes: int, reached: float) -> None:
     """Sets ``visits`` of every plan: how many units hold the share ``reached`` of the probes' true neighbours."""
-    place = F.row_number().over(W.partitionBy("d").orderBy(F.xxhash64("id", F.lit(1)), "id", "v"))
-    asked = rows.where("q").where(F.col("d").isin(list(plan))).withColumn("place", place).where(F.col("place") <= probes).select("d", "id", "v", "place").collect()
+    asked = _drawn(rows.where("q"), {d: (probes, p["asked"]) for d, p in plan.items()}, 1)
     probe = {}
     for d, p in plan.items():
-        own = sorted((r for r in asked if r["d"] == d), key=lambda r: r["place"])
+        own = asked[d]
         if own:
             x = np.array([r["v"] for r in own], dtype=np.float64)
             rank = np.argsort(np.argsort(-(x @ p["pivots"][: p["units"]].T), axis=1, kind="stable"), axis=1)
