@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Partitions that the sample is worked on in.
+PARTS = 32
+
+
 def fold(key: Column, n: int) -> Column:
     """crc32 of the key as text, mod n."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
@@ -22,7 +26,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     drawn = own.groupBy("__key").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__key"), "__key").limit(bound)
     texts = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     once = texts.join(F.broadcast(drawn), "__key").groupBy("__text").agg(F.max("__label").alias("__label"))
-    return once.orderBy(F.xxhash64("__text"), "__text").limit(bound)
+    return once.orderBy(F.xxhash64("__text"), "__text").limit(bound).repartition(PARTS, "__text")  # a limit leaves one partition
 
 
 class Memo(dict):
