@@ -71,6 +71,24 @@ def _alike(x: np.ndarray, y: np.ndarray) -> bool:
     return same >= SIMILAR * (len(both) - same) - 1e-9
 
 
+def checks(pairs: DataFrame, sets: DataFrame, dtype: type) -> DataFrame:
+    """``pairs`` (a, b) with ``ok``: whether the sets of both have a similarity of SIMILAR or more. ``sets`` as for ``links``."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [_alike(np.frombuffer(x.as_buffer(), dtype=dtype), np.frombuffer(y.as_buffer(), dtype=dtype)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    own = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
+    both = own.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long, ok boolean")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, dtype: type) -> DataFrame:
+    """The ``pairs`` (a, b) of a similarity of SIMILAR or more."""
+    return checks(pairs, sets, dtype).where("ok").select("a", "b")
+
+
 def links(star: DataFrame, sets: DataFrame, dtype: type, part: int = PART) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs under one head whose similarity is SIMILAR or more.
 
@@ -79,14 +97,7 @@ def links(star: DataFrame, sets: DataFrame, dtype: type, part: int = PART) -> Da
     The joins are left to be split by the engine where a head is hot, so each side is an exchange of its own.
     """
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [_alike(np.frombuffer(x.as_buffer(), dtype=dtype), np.frombuffer(y.as_buffer(), dtype=dtype)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-    own = star.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-    both = own.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    checked = saved(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long, ok boolean"))
+    checked = saved(checks(star, sets, dtype))
     near = checked.where("ok").select("a", "b")
     counts = saved(checked.groupBy(F.col("b").alias("head")).agg((F.count(F.lit(1)) + 1).alias("n"), F.count(F.when(~F.col("ok"), 1)).alias("r")).where("r > 0"))
     members = checked.select(F.col("b").alias("head"), F.col("a").alias("node"), "ok").union(counts.select("head", "head", F.lit(True)))

@@ -134,5 +134,16 @@ class Forest:
         if a != b:
             self.up[max(a, b)] = min(a, b)
 
+    def join_all(self, i: np.ndarray, j: np.ndarray) -> None:
+        """``join`` of the pairs (i, j), all at a time: roots are hooked to smaller ones until no pair has two."""
+        while len(i):
+            up = self.roots()
+            a, b = up[i], up[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+
     def roots(self) -> np.ndarray:
-        return np.array([self.find(i) for i in range(len(self.up))], dtype=np.int64)
+        while ((up := self.up[self.up]) != self.up).any():
+            self.up = up
+        return self.up

@@ -1,28 +1,46 @@
-"""Near copies of whole documents: five-word shingles, MinHash banding, exact Jaccard.
-
-A text is the set of its five-word shingles (A-Z lower-cased; a shorter text is one shingle). The MinHash of the
-set is cut in BANDS bands of BAND_ROWS, so that two texts of Jaccard similarity 0.8 share no band with probability
-(1 - 0.8**6)**32 < 0.0001, and more similar ones with less. Texts that share a band are compared by exact Jaccard of
-their shingle sets (``banding``), and components come from star rounds. Texts of the same words are one node
-throughout, so exact copies are never compared.
+"""Near copies of whole documents: SimHash of five-word shingles, tiled comparison, exact Jaccard.
+
+A text is the set of its five-word shingles (A-Z lower-cased; a shorter text is one shingle). Each shingle votes -3, -1,
+1 or 3 on every bit of a SimHash. Texts of Jaccard similarity 0.8 or more have a cosine of 0.889 or more, so they differ in a
+bit with probability APART at most (the greatest is that of four shingles and the same four with a fifth). The first
+PRINT words are the fingerprint; texts are candidates if theirs differ in RADIUS bits or fewer (and in FIRST of the first
+words), by the tiles of op4. Up to FILED texts are compared all with all. More are filed under keys of k other bits, and
+only texts filed together are compared; as many keys are taken as leave a pair just at 0.8 apart in all of them with
+probability MISSED at most. With the radii that makes 0.0001 in all, and less for more similar texts.
+
+Tiles are gone over twice. First, by the first words only, every text is linked to the smallest within TIGHT bits, and
+those links are verified; then, among texts that have a candidate, all candidate pairs not yet in one component are.
+Candidates are compared by exact Jaccard of their shingle sets (``banding``), and components come
+from star rounds. Texts of the same words are one node throughout, so exact copies are never compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .banding import gathered, links
+from .banding import verified
 from .common import components, numbered, renamed_back, saved
+from .op4_simhash import compared, tile_pairs
 from .op7_substrings import _BASE, CHUNK, SHINGLE, Words, mix
 
-BANDS, BAND_ROWS = 32, 6
+APART, MISSED = 0.1641, 0.00004
+#: Words of 64 bits of a fingerprint, and the radii; a pair just at 0.8 is beyond RADIUS, or FIRST, with probability 0.00003 at most each.
+PRINT, RADIUS, TIGHT, FIRST = 16, 218, 31, (3, 54)
+#: Texts of a filing to aim at, the most bits of a key (beyond, filings grow), and the rows of a filing that one task compares.
+FILED, WIDEST, PART = 2048, 13, 8192
 
-_A, _B = (np.random.default_rng(s).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for s in (23, 29))
+#: One hash of a shingle gives 32 votes of two bits.
+VOTES = 32
+_A = np.random.default_rng(23).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FIELDS = np.uint64(0x0303030303030303)
+#: Votes of at most 3 that a byte can add up.
+_ADDED = 85
 
 
 def shingle_sets(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,15 +62,84 @@ def shingle_sets(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return w.text[at], whole, values, edges
 
 
-def bands(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """(texts, BANDS) band hashes."""
-    out = np.empty((len(edges) - 1, BANDS), dtype=np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(edges) - 1, b + 1, dtype=np.uint64)
-        for r in range(b * BAND_ROWS, (b + 1) * BAND_ROWS):
-            key = mix(key * _BASE + np.minimum.reduceat((values * _A[r] + _B[r]) >> np.uint64(16), edges[:-1]))
-        out[:, b] = key
-    return out
+def hashed(values: np.ndarray, j: int) -> np.ndarray:
+    """The ``j``-th hash of hashes."""
+    h = values * _A[j]
+    return h ^ (h >> np.uint64(32))
+
+
+def simhashes(values: np.ndarray, edges: np.ndarray, hashes: int) -> np.ndarray:
+    """(texts, 4 * hashes) bytes: the SimHash of every text's distinct shingles; a bit is 1 if the votes' sum is over zero."""
+    owner = np.repeat(np.arange(len(edges) - 1, dtype=np.uint64), np.diff(edges))
+    own = np.sort(owner << np.uint64(44) | values >> np.uint64(20))
+    own = own[np.append(True, own[1:] != own[:-1])]
+    starts = np.searchsorted(own >> np.uint64(44), np.arange(len(edges), dtype=np.uint64))
+    n = np.diff(starts)
+    pieces = -(-n // _ADDED)
+    first = np.concatenate([[0], np.cumsum(pieces)[:-1]])
+    at = np.repeat(starts[:-1] - _ADDED * first, pieces) + _ADDED * np.arange(pieces.sum())
+    own = mix(own & np.uint64((1 << 44) - 1))
+    bits = np.empty((len(n), hashes, 4, 8), dtype=bool)
+    for j in range(hashes):
+        h = hashed(own, j)
+        for s in range(4):
+            sums = np.add.reduceat(h >> np.uint64(2 * s) & _FIELDS, at).view(np.uint8).reshape(-1, 8)
+            bits[:, j, s] = 2 * np.add.reduceat(sums, first, axis=0, dtype=np.int64) > 3 * n[:, None]
+    return np.packbits(bits.reshape(len(n), -1), axis=1)
+
+
+def key_plan(n: int, filed: int = FILED) -> tuple[int, int]:
+    """Bits of a key and number of keys for ``n`` rows."""
+    width = min(WIDEST, max(0, ceil(log2(max(n, 1) / filed))))
+    return (width, ceil(log(MISSED) / log(1 - (1 - APART) ** width))) if width else (0, 1)
+
+
+def filings(nodes: DataFrame, width: int, keys: int, words: int) -> DataFrame:
+    """(node, label, p0, p1, ..., c, v): ``nodes`` (node, label, print: a SimHash in bytes, or null) once for each of its keys."""
+    columns = ["node", "label", *[f"p{i}" for i in range(words)], "c", "v"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = 1 << np.arange(width, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+            own = [batch.column(0), batch.column(1), *map(pa.array, np.ascontiguousarray(prints[:, : 8 * words]).view(np.int64).T)]
+            bits = np.unpackbits(prints[:, 8 * PRINT :], axis=1)
+            for c in range(keys):
+                v = bits[:, c * width : (c + 1) * width] @ powers if width else np.zeros(batch.num_rows, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(batch.num_rows, c)), pa.array(v)], names=columns)
+
+    return nodes.where("print is not null").select("node", "label", "print").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+
+
+def _pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    fps = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+    return tile_pairs(fps, RADIUS, first=FIRST) if fps.shape[1] > FIRST[0] else tile_pairs(fps, FIRST[1])
+
+
+def heads(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every row that has a candidate: itself and the smallest within TIGHT bits, itself included."""
+    ids = rows[:, 0]
+    low, paired = ids.copy(), np.zeros(len(ids), dtype=bool)
+    for x, y, bits in _pairs(rows):
+        paired[x] = paired[y] = True
+        x, y = x[bits <= TIGHT], y[bits <= TIGHT]
+        np.minimum.at(low, x, ids[y])
+        np.minimum.at(low, y, ids[x])
+    return ids[paired], low[paired]
+
+
+def apart(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The candidate pairs of unlike labels, the smaller last."""
+    found = [(rows[x[k], 0], rows[y[k], 0]) for x, y, _ in _pairs(rows) if (k := rows[x, 1] != rows[y, 1]).any()]
+    x, y = (np.concatenate(side) for side in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 2
+    return np.maximum(x, y), np.minimum(x, y)
+
+
+def candidates(nodes: DataFrame, width: int, keys: int, words: int, found: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Distinct edges (a, b) that ``found`` makes of the ``nodes`` filed together, by the first ``words`` of their fingerprints."""
+    return compared(filings(nodes, width, keys, words), ["node", "label", *[f"p{i}" for i in range(words)]], found, PART).distinct()
 
 
 def _chunks(df: DataFrame, schema: str, one: Callable[[pa.RecordBatch, Words], pa.RecordBatch]) -> DataFrame:
@@ -73,18 +160,18 @@ def _chunks(df: DataFrame, schema: str, one: Callable[[pa.RecordBatch, Words], p
     return df.mapInArrow(run, schema)
 
 
-def _signed(rows: DataFrame, kind: str) -> DataFrame:
-    """(__row, __key, node, bands) of every row; wordless texts have node 0 and no bands."""
+def _signed(rows: DataFrame, kind: str, hashes: int) -> DataFrame:
+    """(__row, __key, node, print) of every row; wordless texts have node 0 and no print."""
 
     def one(batch: pa.RecordBatch, w: Words) -> pa.RecordBatch:
         own, whole, values, edges = shingle_sets(w)
-        node, many = np.zeros(batch.num_rows, dtype=np.uint64), np.zeros(batch.num_rows, dtype=np.int32)
-        node[own], many[own] = whole, BANDS
-        found = bands(values, edges).view(np.int64).ravel() if len(own) else np.zeros(0, dtype=np.int64)
-        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(found))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), listed], names=["__row", "__key", "node", "bands"])
+        node, prints = np.zeros(batch.num_rows, dtype=np.uint64), [None] * batch.num_rows
+        node[own] = whole
+        for i, x in zip(own, simhashes(values, edges, hashes) if len(own) else (), strict=True):
+            prints[i] = x.tobytes()
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array(prints, pa.binary())], names=["__row", "__key", "node", "print"])
 
-    return _chunks(rows.select("__row", "__key", "__text"), f"__row long, __key {kind}, node long, bands array<long>", one)
+    return _chunks(rows.select("__row", "__key", "__text"), f"__row long, __key {kind}, node long, print binary", one)
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -98,7 +185,7 @@ def _sets(rows: DataFrame) -> DataFrame:
     return _chunks(rows.select("node", "__text"), "node long, set binary", one)
 
 
-def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", filed: int = FILED) -> DataFrame:
     """One row, that of the smallest key, of every group of near copies, in the columns of ``df``.
 
     Groups are the components over pairs of five-word Jaccard similarity 0.8 or more; wordless texts are one group.
@@ -110,11 +197,19 @@ def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text")
     row = F.xxhash64(F.col(key), F.col(key).isNull(), F.col(text), F.col(text).isNull())
     rows = df.select(row.alias("__row"), F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
     low = F.min(F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__row").alias("row"))).alias("low")
-    nodes = saved(_signed(rows, df.select(key).schema[0].dataType.simpleString()).groupBy("node").agg(low, F.max("bands").alias("bands")))
-    star = saved(gathered(nodes.select(F.explode("bands").alias("band"), F.col("node").alias("line"))))
+    width, keys = key_plan(df.count(), filed)
+    hashes = ceil((64 * PRINT + width * keys) / VOTES)
+    nodes = saved(_signed(rows, df.select(key).schema[0].dataType.simpleString(), hashes).groupBy("node").agg(low, F.max("print").alias("print")))
+    star = saved(candidates(nodes.withColumn("label", F.lit(0).cast("long")), width, keys, FIRST[0], heads))
     asked = star.select("a").union(star.select("b")).distinct().withColumnRenamed("a", "__node").join(nodes, F.col("__node") == F.col("node")).select("node", F.col("low.row").alias("__asked"))
-    candidates = rows.join(asked, F.col("__row") == F.col("__asked")).dropDuplicates(["__row"])
-    found = components(links(star, saved(_sets(candidates)), np.uint64)).withColumnRenamed("node", "__node").withColumnRenamed("root", "__root")
+    texts = rows.join(asked, F.col("__row") == F.col("__asked")).dropDuplicates(["__row"])
+    sets = saved(_sets(texts))
+    near = saved(verified(star.where("a <> b"), sets, np.uint64))
+    root = components(near).withColumnRenamed("node", "__node")
+    paired = star.select(F.col("a").alias("__paired")).distinct()
+    labelled = nodes.join(paired, F.col("node") == F.col("__paired"), "left_semi").join(root, F.col("node") == F.col("__node"), "left").withColumn("label", F.coalesce("root", "node"))
+    rest = saved(candidates(labelled, width, keys, PRINT, apart))
+    found = components(near.union(verified(rest, sets, np.uint64))).withColumnRenamed("node", "__node").withColumnRenamed("root", "__root")
     named = nodes.join(found, F.col("node") == F.col("__node"), "left").select(F.coalesce("__root", "node").alias("__root"), "low")
     keep = named.groupBy("__root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("__keep"))
     return renamed_back(df.withColumn("__row", row).join(keep, F.col("__row") == F.col("__keep"), "left_semi").dropDuplicates(["__row"]), names)

@@ -9,7 +9,7 @@ forest of its links (at most one row per fingerprint), never pairs; components c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -54,68 +54,96 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return map_arrow(df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")), ["__key", "__text"], f"__key {kind}, __fp long", run).withColumnRenamed("__key", key)
 
 
-def tile_links(fps: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> np.ndarray:
-    """Root index of each of ``fps`` (uint64) under links at ``radius`` or fewer differing bits."""
-    order = np.argsort(np.bitwise_count(fps), kind="stable")
-    f, pop = fps[order], np.bitwise_count(fps[order]).astype(np.int64)
-    forest = Forest(len(f))
-    for i in range(0, len(f), tile):
-        a = f[i : i + tile]
-        for j in range(i, len(f), tile):
-            if pop[j] - pop[min(i + tile, len(f)) - 1] > radius:
+def tile_pairs(fps: np.ndarray, radius: int = RADIUS, tile: int = TILE, first: tuple[int, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs of ``fps`` (uint64; one word or a row of words each) that differ in ``radius`` or fewer bits, tile by tile: places, places, bits.
+
+    With ``first`` = (words, radius), the tiles are of that many words, and only pairs within that radius there are compared whole.
+    """
+    words = fps.reshape(len(fps), -1)
+    many, reach = first or (words.shape[1], radius)
+    pop = np.bitwise_count(words[:, :many]).sum(axis=1, dtype=np.int64)
+    order = np.argsort(pop, kind="stable")
+    words, pop = words[order], pop[order]
+    f = np.ascontiguousarray(words[:, :many].T)
+    kind = np.uint8 if many < 4 else np.uint16
+    for i in range(0, len(pop), tile):
+        for j in range(i, len(pop), tile):
+            if pop[j] - pop[min(i + tile, len(pop)) - 1] > reach:
                 break
-            near = np.bitwise_count(a[:, None] ^ f[None, j : j + tile]) <= radius
-            for x, y in zip(*np.nonzero(np.triu(near, 1) if i == j else near), strict=True):
-                forest.join(i + int(x), j + int(y))
-    roots = np.empty(len(f), dtype=np.int64)
-    roots[order] = order[forest.roots()]
-    return roots
+            apart = np.bitwise_count(f[0, i : i + tile, None] ^ f[0, None, j : j + tile]).astype(kind, copy=False)
+            for w in f[1:]:
+                apart += np.bitwise_count(w[i : i + tile, None] ^ w[None, j : j + tile])
+            near = apart <= reach
+            at = np.flatnonzero(np.triu(near, 1) if i == j else near)
+            x, y, bits = i + at // near.shape[1], j + at % near.shape[1], apart.ravel()[at].astype(np.int64)
+            if many < words.shape[1]:
+                bits += np.bitwise_count(words[x, many:] ^ words[y, many:]).sum(axis=1, dtype=np.int64)
+                x, y, bits = x[bits <= radius], y[bits <= radius], bits[bits <= radius]
+            yield order[x], order[y], bits
 
 
-def links(fps: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
-    """Star edges (a, b) whose components are those of all links among the distinct fingerprints ``__fp``."""
-    if radius != RADIUS:
-        raise ValueError("the filing by two of four blocks is exact for a radius of 2")
-    block = [F.shiftrightunsigned("__fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    filed = fps.select("__fp", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), (block[i] * 65536 + block[j]).alias("v")) for c, (i, j) in enumerate(combinations(range(4), 2))])).alias("f")).select("__fp", "f.c", "f.v")
+def tile_links(fps: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> np.ndarray:
+    """Root index of each of ``fps`` under links at ``radius`` or fewer differing bits."""
+    forest = Forest(len(fps))
+    for x, y, _ in tile_pairs(fps, radius, tile):
+        forest.join_all(x, y)
+    return forest.roots()
+
+
+def compared(filed: DataFrame, columns: list[str], found: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], part: int = PART) -> DataFrame:
+    """Edges (a, b): what ``found`` makes of the rows that are filed together, so that every two of them meet.
+
+    ``filed`` has the long columns ``c`` and ``v`` (a filing) and ``columns``, the first of which names the row; ``found`` gets them as a
+    matrix. A filing of more than ``part`` rows is cut in p parts by hash, and each pair of parts is one unit of work.
+    """
     counts = filed.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = filed.join(counts, ["c", "v"])
-    # A filing of more than PART rows is cut in p parts by hash; each pair of parts is one unit of work.
-    parts = shared.withColumn("p", F.ceil(F.col("n") / part).cast("long")).withColumn("own", F.when(F.col("p") > 1, F.pmod(F.xxhash64("__fp"), F.col("p"))).otherwise(F.lit(0)))
-    units = parts.withColumn("o", F.explode(F.expr("sequence(0L, p - 1)"))).select("__fp", "c", "v", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"))
+    parts = shared.withColumn("p", F.ceil(F.col("n") / part).cast("long")).withColumn("own", F.when(F.col("p") > 1, F.pmod(F.xxhash64(columns[0]), F.col("p"))).otherwise(F.lit(0)))
+    units = parts.withColumn("o", F.explode(F.expr("sequence(0L, p - 1)"))).select(*columns, "c", "v", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_key, kept = None, []
 
-        def done(values: list) -> tuple[np.ndarray, np.ndarray]:
-            f = np.concatenate(values)
-            r = tile_links(f.view(np.uint64))
-            off = np.nonzero(r != np.arange(len(r)))[0]
-            return f[off], f[r[off]]
-
         for batch in batches:
-            fp, *keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            if not len(fp):
+            *own, c, v, x, y = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns) + 4)]
+            if not len(c):
                 continue
-            cuts = np.nonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))[0] + 1
+            rows = np.stack(own, axis=1)
+            cuts = np.nonzero(np.any([k[1:] != k[:-1] for k in (c, v, x, y)], axis=0))[0] + 1
             a, b = [], []
-            for s, e in zip([0, *cuts], [*cuts, len(fp)], strict=True):
-                key = tuple(int(k[s]) for k in keys)
+            for s, e in zip([0, *cuts], [*cuts, len(c)], strict=True):
+                key = tuple(int(k[s]) for k in (c, v, x, y))
                 if key != kept_key and kept:
-                    x, y = done(kept)
-                    a.append(x), b.append(y)
+                    ends = found(np.concatenate(kept))
+                    a.append(ends[0]), b.append(ends[1])
                     kept = []
                 kept_key = key
-                kept.append(fp[s:e])
+                kept.append(rows[s:e])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
         if kept:
-            x, y = done(kept)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+            ends = found(np.concatenate(kept))
+            yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], names=["a", "b"])
 
     return units.repartition("c", "v", "x", "y").sortWithinPartitions("c", "v", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def links(fps: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
+    """Star edges (a, b) whose components are those of all links among the distinct fingerprints ``__fp``."""
+    if radius != RADIUS:
+        raise ValueError("the filing by two of four blocks is exact for a radius of 2")
+    block = [F.shiftrightunsigned("__fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
+    filed = fps.select("__fp", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), (block[i] * 65536 + block[j]).alias("v")) for c, (i, j) in enumerate(combinations(range(4), 2))])).alias("f")).select("__fp", "f.c", "f.v")
+
+    def star(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        f = rows[:, 0]
+        r = tile_links(f.view(np.uint64), radius)
+        off = np.nonzero(r != np.arange(len(r)))[0]
+        return f[off], f[r[off]]
+
+    return compared(filed, ["__fp"], star, part)
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ``__fp``, ``component_id``): per row the smallest key reachable over links of 2 or fewer bits.
 

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 
 import corpus_pipeline
-from loomtext.llm import banding, near_copies as nc
+from loomtext.llm import banding, near_copies as nc, op4_simhash as o4
 from loomtext.llm.common import components
 
 from .helpers import DOCS, documents, words
@@ -81,3 +81,71 @@ def test_rows_are_decided_one_by_one(spark):
     rows = [(1, a), (1, b), (0, b), (None, c), (None, a), (None, a), (1, a)]
     assert sorted((str(x.doc_id), x.text) for x in nc.without_near_copies(documents(spark, rows)).collect()) == sorted([("1", a), ("0", b), ("None", c)])
     assert nc.without_near_copies(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_candidates_come_from_the_tiles_of_op4_only(spark, monkeypatch):
+    """Without the tiled comparison only texts of the same words are one."""
+    rows = edited_corpus()
+    monkeypatch.setattr(nc, "compared", lambda rows, *_: spark.createDataFrame([], "a long, b long"), raising=False)
+    low = {}
+    for k, t in rows:
+        same = " ".join((t or "").lower().split())
+        low[same] = min(k, low.get(same, k))
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, documents(spark, rows), "").collect()) == sorted(low.values())
+
+
+def test_filed_texts_are_kept_as_brute_force_does(spark):
+    rows = edited_corpus()
+    assert nc.key_plan(len(rows), 16) == (4, 16)
+    assert sorted(x.doc_id for x in nc.without_near_copies(documents(spark, rows), filed=16).collect()) == slow_kept(rows)
+
+
+def test_simhashes_are_sums_of_votes_of_distinct_shingles(spark):
+    r = np.random.default_rng(5)
+    sets = [r.integers(0, 1 << 63, n, dtype=np.uint64) for n in (1, 4, 84, 85, 86, 400)]
+    sets[3] = np.concatenate([sets[3], sets[3][:7]])
+    got = np.unpackbits(nc.simhashes(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), 9), axis=1)
+    for i, s in enumerate(sets):
+        votes = []
+        for j in range(9):
+            h = [int(x) for x in nc.hashed(nc.mix(np.unique(s) >> np.uint64(20)), j)]
+            votes += [sum(2 * (x >> 8 * field + 2 * shift & 3) - 3 for x in h) for shift in range(4) for field in range(8)]
+        assert got[i].tolist() == [int(v > 0) for v in votes]
+
+
+def test_pairs_just_at_the_similarity_differ_within_the_radius():
+    r = np.random.default_rng(6)
+    for both, a, b in ((4, 0, 1), (8, 1, 1), (80, 10, 10), (400, 50, 50)):
+        x = [r.integers(0, 1 << 63, both + a + b, dtype=np.uint64) for _ in range(500)]
+        sets = [s for v in x for s in (v[: both + a], np.concatenate([v[:both], v[both + a :]]))]
+        prints = nc.simhashes(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), 2 * nc.PRINT)
+        bits = np.unpackbits(prints, axis=1)
+        apart = (bits[::2] != bits[1::2]).mean(axis=1)
+        assert apart.mean() < nc.APART + 0.003
+        assert (bits[::2, : 64 * nc.PRINT] != bits[1::2, : 64 * nc.PRINT]).sum(axis=1).max() <= nc.RADIUS
+
+
+def test_tiles_of_several_words_link_as_all_pairs_do():
+    r = np.random.default_rng(7)
+    f = np.repeat(r.integers(0, 1 << 63, (30, 3), dtype=np.uint64), 4, axis=0) ^ np.uint64(1) << r.integers(0, 40, (120, 3), dtype=np.uint64)
+    root = np.arange(120)
+    for _ in range(120):
+        near = np.bitwise_count(f[:, None] ^ f[None]).sum(axis=2) <= 6
+        root = np.where(near, root[None], 999).min(axis=1)
+    got = o4.tile_links(f, 6, 16)
+    assert all((got[i] == got[j]) == (root[i] == root[j]) for i in range(120) for j in range(120)) and len(set(root)) == 30
+
+
+def test_hot_filings_are_compared_in_parts(spark):
+    r = np.random.default_rng(8)
+    base = r.integers(-(1 << 62), 1 << 62, (20, 3))
+    rows = [(int(i), *[int(x) for x in base[i % 20] ^ (1 << r.integers(0, 60, 3))], 0, 7) for i in range(200)]
+
+    def all_pairs(rows):
+        found = list(o4.tile_pairs(np.ascontiguousarray(rows[:, 1:]).view(np.uint64), 6, 16, first=(1, 2)))
+        return tuple(rows[np.concatenate([f[k] for f in found]), 0] for k in (0, 1))
+
+    df = spark.createDataFrame(rows, "node long, p0 long, p1 long, p2 long, c long, v long")
+    for part in (16, 4096):
+        found = components(o4.compared(df, ["node", "p0", "p1", "p2"], all_pairs, part)).collect()
+        assert {x.node: x.root for x in found} == {i: i % 20 for i in range(200)}
