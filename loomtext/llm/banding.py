@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Forest, saved
@@ -19,6 +19,10 @@ from .common import Forest, saved
 SIMILAR = 0.8
 #: Texts of one group that a part holds; a part of those to compare meets a part of all as one unit of work.
 PART = 128
+#: A group dealt over ``few`` parts gets more if a part would hold over so many texts or bytes of sets.
+MOST, BYTES = 2048, 1 << 22
+#: Links of a unit that are held before they are joined.
+WAITING = 1 << 18
 
 
 def gathered(pairs: DataFrame) -> DataFrame:
@@ -45,19 +49,25 @@ def similar(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     order = np.argsort([len(s) for s in sets], kind="stable")
     ids, sets = ids[order], [sets[i] for i in order]
     size = np.array([len(s) for s in sets])
-    forest = Forest(len(ids))
-    owner = np.repeat(np.arange(len(ids)), size)
-    values = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, dtype=np.int64)
-    by = np.argsort(values, kind="stable")
-    edges = np.searchsorted(values[by], np.arange(values.max() + 2 if len(values) else 1))
-    posts, starts = owner[by], np.concatenate([[0], np.cumsum(size)])
-    for i in range(len(ids)):
-        own = values[starts[i] : starts[i + 1]]
-        hit = np.concatenate([posts[edges[x] : edges[x + 1]] for x in own]) if len(own) else np.zeros(0, dtype=np.int64)
-        both = np.bincount(hit[hit < i], minlength=1)
-        js = np.nonzero(both)[0]
-        for j in js[both[js] >= SIMILAR * (size[i] + size[js] - both[js]) - 1e-9]:
-            forest.join(i, int(j))
+    starts = np.concatenate([[0], np.cumsum(size)])
+    values = np.unique(np.concatenate(sets), return_inverse=True)[1] if starts[-1] else np.zeros(0, dtype=np.int64)
+    forest, marked = Forest(len(ids)), np.zeros(len(values), dtype=np.int8)
+    ends = np.searchsorted(size, size / SIMILAR + 1e-9, side="right")
+    found, waiting = [], 0
+    for i in np.flatnonzero(ends > np.maximum(np.arange(len(ids)) + 1, np.searchsorted(size, 1))):
+        # Those after it are as large or larger, so none is empty.
+        n, end, own = i + 1, ends[i], values[starts[i] : starts[i + 1]]
+        marked[own] = 1
+        both = np.add.reduceat(marked[values[starts[n] : starts[end]]], starts[n:end] - starts[n], dtype=np.int64)
+        marked[own] = 0
+        js = n + np.flatnonzero(both >= SIMILAR * (size[i] + size[n:end] - both) - 1e-9)
+        found.append((np.full(len(js), i), js))
+        waiting += len(js)
+        if waiting > WAITING:
+            forest.join_all(*map(np.concatenate, zip(*found, strict=True)))
+            found, waiting = [], 0
+    if found:
+        forest.join_all(*map(np.concatenate, zip(*found, strict=True)))
     roots = forest.roots()
     return [(int(ids[i]), int(ids[r])) for i, r in enumerate(roots) if i != r]
 
@@ -72,36 +82,39 @@ def _alike(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def checks(pairs: DataFrame, sets: DataFrame, dtype: type) -> DataFrame:
-    """``pairs`` (a, b) with ``ok``: whether the sets of both have a similarity of SIMILAR or more. ``sets`` as for ``links``."""
+    """``pairs`` (a, b) with ``ok``: whether the sets of both have a similarity of SIMILAR or more; and ``size``, the bytes of the set of a. ``sets`` as for ``links``."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [_alike(np.frombuffer(x.as_buffer(), dtype=dtype), np.frombuffer(y.as_buffer(), dtype=dtype)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+            size = [len(x.as_buffer()) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_()), pa.array(size, pa.int64())], names=["a", "b", "ok", "size"])
 
     own = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
     both = own.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long, ok boolean")
+    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long, ok boolean, size long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, dtype: type) -> DataFrame:
-    """The ``pairs`` (a, b) of a similarity of SIMILAR or more."""
-    return checks(pairs, sets, dtype).where("ok").select("a", "b")
-
-
-def links(star: DataFrame, sets: DataFrame, dtype: type, part: int = PART) -> DataFrame:
+def links(star: DataFrame, sets: DataFrame, dtype: type, part: int = PART, few: int | None = None) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs under one head whose similarity is SIMILAR or more.
 
     ``star`` has edges (a, b), from each text to the head of a band they share; ``sets`` has one row (node, set) for
     every text there: its distinct hashes, sorted, as the bytes of a ``dtype`` array. Both should be written already.
     The joins are left to be split by the engine where a head is hot, so each side is an exchange of its own.
+    A group is dealt over parts of ``part`` texts, with ``few`` over that many at most unless they would be too large (MOST, BYTES).
     """
 
+    def parts(count: str, load: str) -> Column:
+        by = F.ceil(F.col(count) / part)
+        return (F.greatest(F.least(by, F.lit(few)), F.ceil(load)) if few else by).cast("long")
+
     checked = saved(checks(star, sets, dtype))
     near = checked.where("ok").select("a", "b")
-    counts = saved(checked.groupBy(F.col("b").alias("head")).agg((F.count(F.lit(1)) + 1).alias("n"), F.count(F.when(~F.col("ok"), 1)).alias("r")).where("r > 0"))
+    load, unlike = F.greatest(F.lit(1 / MOST), F.col("size") / BYTES), F.when(~F.col("ok"), 1)
+    sums = [(F.count(F.lit(1)) + 1).alias("n"), F.count(unlike).alias("r"), F.sum(load).alias("nl"), F.sum(load * unlike).alias("rl")]
+    counts = saved(checked.groupBy(F.col("b").alias("head")).agg(*sums).where("r > 0"))
     members = checked.select(F.col("b").alias("head"), F.col("a").alias("node"), "ok").union(counts.select("head", "head", F.lit(True)))
-    parts = members.join(counts, "head").withColumn("p", F.ceil(F.col("n") / part).cast("long")).withColumn("q", F.ceil(F.col("r") / part).cast("long")).withColumn("h", F.xxhash64("node"))
+    parts = members.join(counts, "head").withColumn("p", parts("n", "nl")).withColumn("q", parts("r", "rl")).withColumn("h", F.xxhash64("node"))
     # Parts of those not like the head (y) meet parts of all (x): every text is in a row of units, one not like the head in a column too.
     row = F.expr("transform(sequence(0L, q - 1), y -> named_struct('x', pmod(h, p), 'y', y))")
     column = F.expr("IF(ok, slice(transform(sequence(0L, p - 1), x -> named_struct('x', x, 'y', pmod(h, q))), 1, 0), transform(sequence(0L, p - 1), x -> named_struct('x', x, 'y', pmod(h, q))))")

@@ -8,10 +8,13 @@ words), by the tiles of op4. Up to FILED texts are compared all with all. More a
 only texts filed together are compared; as many keys are taken as leave a pair just at 0.8 apart in all of them with
 probability MISSED at most. With the radii that makes 0.0001 in all, and less for more similar texts.
 
-Tiles are gone over twice. First, by the first words only, every text is linked to the smallest within TIGHT bits, and
-those links are verified; then, among texts that have a candidate, all candidate pairs not yet in one component are.
-Candidates are compared by exact Jaccard of their shingle sets (``banding``), and components come
-from star rounds. Texts of the same words are one node throughout, so exact copies are never compared.
+Tiles are gone over twice: by the first words only, then by the whole fingerprints of those that had a candidate. A task
+returns a spanning forest of its candidate pairs (at most one row per text filed), never the pairs. The trees that these make
+together are the clusters; texts of a cluster are compared by exact Jaccard of their shingle sets, first with the
+cluster's smallest and then, those unlike it, with all others, in units of bounded size that return spanning
+forests too (``banding``). So no rows grow with the square of a group, whether its texts prove alike or not, but those of the units: each
+text goes to FEW of them for each side, and to more only in clusters beyond what so many units can hold.
+Components come from star rounds. Texts of the same words are one node throughout, so exact copies are never compared.
 """
 
 from __future__ import annotations
@@ -24,16 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .banding import verified
-from .common import components, numbered, renamed_back, saved
+from .banding import links
+from .common import Forest, components, numbered, renamed_back, saved
 from .op4_simhash import compared, tile_pairs
 from .op7_substrings import _BASE, CHUNK, SHINGLE, Words, mix
 
 APART, MISSED = 0.1641, 0.00004
 #: Words of 64 bits of a fingerprint, and the radii; a pair just at 0.8 is beyond RADIUS, or FIRST, with probability 0.00003 at most each.
-PRINT, RADIUS, TIGHT, FIRST = 16, 218, 31, (3, 54)
+PRINT, RADIUS, FIRST = 16, 218, (3, 54)
 #: Texts of a filing to aim at, the most bits of a key (beyond, filings grow), and the rows of a filing that one task compares.
 FILED, WIDEST, PART = 2048, 13, 8192
+#: Parts that a cluster is dealt over, if they can hold it.
+FEW = 16
 
 #: One hash of a shingle gives 32 votes of two bits.
 VOTES = 32
@@ -95,51 +100,38 @@ def key_plan(n: int, filed: int = FILED) -> tuple[int, int]:
 
 
 def filings(nodes: DataFrame, width: int, keys: int, words: int) -> DataFrame:
-    """(node, label, p0, p1, ..., c, v): ``nodes`` (node, label, print: a SimHash in bytes, or null) once for each of its keys."""
-    columns = ["node", "label", *[f"p{i}" for i in range(words)], "c", "v"]
+    """(node, p0, p1, ..., c, v): ``nodes`` (node, print: a SimHash in bytes, or null) once for each of its keys."""
+    columns = ["node", *[f"p{i}" for i in range(words)], "c", "v"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = 1 << np.arange(width, dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-            own = [batch.column(0), batch.column(1), *map(pa.array, np.ascontiguousarray(prints[:, : 8 * words]).view(np.int64).T)]
+            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+            own = [batch.column(0), *map(pa.array, np.ascontiguousarray(prints[:, : 8 * words]).view(np.int64).T)]
             bits = np.unpackbits(prints[:, 8 * PRINT :], axis=1)
             for c in range(keys):
                 v = bits[:, c * width : (c + 1) * width] @ powers if width else np.zeros(batch.num_rows, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(batch.num_rows, c)), pa.array(v)], names=columns)
 
-    return nodes.where("print is not null").select("node", "label", "print").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+    return nodes.where("print is not null").select("node", "print").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
 
 
-def _pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    fps = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
-    return tile_pairs(fps, RADIUS, first=FIRST) if fps.shape[1] > FIRST[0] else tile_pairs(fps, FIRST[1])
+def linked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the candidate pairs: every row that is not the first of its tree, and that first."""
+    fps = np.ascontiguousarray(rows[:, 1:]).view(np.uint64)
+    forest = Forest(len(rows))
+    for x, y, _ in tile_pairs(fps, RADIUS, first=FIRST) if fps.shape[1] > FIRST[0] else tile_pairs(fps, FIRST[1]):
+        forest.join_all(x, y)
+    root = forest.roots()
+    off = np.flatnonzero(root != np.arange(len(root)))
+    return rows[off, 0], rows[root[off], 0]
 
 
-def heads(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of every row that has a candidate: itself and the smallest within TIGHT bits, itself included."""
-    ids = rows[:, 0]
-    low, paired = ids.copy(), np.zeros(len(ids), dtype=bool)
-    for x, y, bits in _pairs(rows):
-        paired[x] = paired[y] = True
-        x, y = x[bits <= TIGHT], y[bits <= TIGHT]
-        np.minimum.at(low, x, ids[y])
-        np.minimum.at(low, y, ids[x])
-    return ids[paired], low[paired]
-
-
-def apart(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The candidate pairs of unlike labels, the smaller last."""
-    found = [(rows[x[k], 0], rows[y[k], 0]) for x, y, _ in _pairs(rows) if (k := rows[x, 1] != rows[y, 1]).any()]
-    x, y = (np.concatenate(side) for side in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 2
-    return np.maximum(x, y), np.minimum(x, y)
-
-
-def candidates(nodes: DataFrame, width: int, keys: int, words: int, found: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Distinct edges (a, b) that ``found`` makes of the ``nodes`` filed together, by the first ``words`` of their fingerprints."""
-    return compared(filings(nodes, width, keys, words), ["node", "label", *[f"p{i}" for i in range(words)]], found, PART).distinct()
+def candidates(nodes: DataFrame, width: int, keys: int, words: int) -> DataFrame:
+    """Distinct edges (a, b) whose components are those of the candidate pairs among ``nodes`` filed together, by the first ``words`` of their fingerprints."""
+    return compared(filings(nodes, width, keys, words), ["node", *[f"p{i}" for i in range(words)]], linked, PART).distinct()
 
 
 def _chunks(df: DataFrame, schema: str, one: Callable[[pa.RecordBatch, Words], pa.RecordBatch]) -> DataFrame:
@@ -200,16 +192,13 @@ def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text",
     width, keys = key_plan(df.count(), filed)
     hashes = ceil((64 * PRINT + width * keys) / VOTES)
     nodes = saved(_signed(rows, df.select(key).schema[0].dataType.simpleString(), hashes).groupBy("node").agg(low, F.max("print").alias("print")))
-    star = saved(candidates(nodes.withColumn("label", F.lit(0).cast("long")), width, keys, FIRST[0], heads))
-    asked = star.select("a").union(star.select("b")).distinct().withColumnRenamed("a", "__node").join(nodes, F.col("__node") == F.col("node")).select("node", F.col("low.row").alias("__asked"))
+    first = saved(candidates(nodes, width, keys, FIRST[0]))
+    paired = first.select(F.col("a").alias("__paired")).union(first.select("b")).distinct()
+    cluster = components(candidates(nodes.join(paired, F.col("node") == F.col("__paired"), "left_semi"), width, keys, PRINT))
+    asked = cluster.withColumnRenamed("node", "__node").join(nodes, F.col("__node") == F.col("node")).select("node", F.col("low.row").alias("__asked"))
     texts = rows.join(asked, F.col("__row") == F.col("__asked")).dropDuplicates(["__row"])
-    sets = saved(_sets(texts))
-    near = saved(verified(star.where("a <> b"), sets, np.uint64))
-    root = components(near).withColumnRenamed("node", "__node")
-    paired = star.select(F.col("a").alias("__paired")).distinct()
-    labelled = nodes.join(paired, F.col("node") == F.col("__paired"), "left_semi").join(root, F.col("node") == F.col("__node"), "left").withColumn("label", F.coalesce("root", "node"))
-    rest = saved(candidates(labelled, width, keys, PRINT, apart))
-    found = components(near.union(verified(rest, sets, np.uint64))).withColumnRenamed("node", "__node").withColumnRenamed("root", "__root")
+    star = cluster.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    found = components(links(star, saved(_sets(texts)), np.uint64, few=FEW)).withColumnRenamed("node", "__node").withColumnRenamed("root", "__root")
     named = nodes.join(found, F.col("node") == F.col("__node"), "left").select(F.coalesce("__root", "node").alias("__root"), "low")
     keep = named.groupBy("__root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("__keep"))
     return renamed_back(df.withColumn("__row", row).join(keep, F.col("__row") == F.col("__keep"), "left_semi").dropDuplicates(["__row"]), names)

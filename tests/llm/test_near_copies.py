@@ -149,3 +149,49 @@ def test_hot_filings_are_compared_in_parts(spark):
     for part in (16, 4096):
         found = components(o4.compared(df, ["node", "p0", "p1", "p2"], all_pairs, part)).collect()
         assert {x.node: x.root for x in found} == {i: i % 20 for i in range(200)}
+
+
+def unlike_corpus():
+    """One group in which all are within the radius of each other and most pairs are under 0.8, and a few texts besides."""
+    r, rows, base = random.Random(12), [], words(150, 99, 50_000)
+    for i in range(160):
+        w = list(base)
+        for _ in range(r.choice((1, 2, 4, 4, 5, 6))):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    return rows + [(500 + i, " ".join(words(50, i))) for i in range(20)]
+
+
+def test_no_step_returns_the_pairs_of_a_group_that_prove_unlike(spark, monkeypatch):
+    rows, made = unlike_corpus(), []
+    told = nc.compared
+    monkeypatch.setattr(nc, "compared", lambda *a: made.append(told(*a)) or made[-1])
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, documents(spark, rows), "").collect()) == slow_kept(rows)
+    assert len(made) == 2 and all(len(set(df.collect())) == df.count() < 160 for df in made)
+
+
+def test_a_cluster_is_dealt_over_few_parts_unless_they_are_too_large(spark, monkeypatch):
+    r = random.Random(4)
+    sets = {i: set(range(i % 5 * 30, i % 5 * 30 + 40)) | {r.randrange(10**6) for _ in range(i % 3)} for i in range(60)}
+    star = spark.createDataFrame([(i, 0) for i in range(1, 60)], "a long, b long")
+    listed = spark.createDataFrame([(i, bytearray(np.array(sorted(s), dtype=np.uint64).tobytes())) for i, s in sets.items()], "node long, set binary")
+    for most, size in ((2048, 1 << 22), (4, 1 << 22), (2048, 1000)):
+        monkeypatch.setattr(banding, "MOST", most)
+        monkeypatch.setattr(banding, "BYTES", size)
+        assert {x.node: x.root for x in components(banding.links(star, listed, np.uint64, 3, few=2)).collect()} == {i: i % 5 for i in range(60)}
+
+
+def test_a_unit_links_what_all_its_pairs_do(monkeypatch):
+    r = np.random.default_rng(9)
+    sets = [np.unique(r.integers(0, 40, n)) for n in r.integers(0, 40, 150)] + [np.zeros(0, dtype=np.int64)] * 2
+    root = np.arange(len(sets))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if (both := len(np.intersect1d(x, y))) and both >= 0.8 * (len(x) + len(y) - both):
+                root[root == root[i]] = root[j]
+    for waiting in (0, 1 << 18):
+        monkeypatch.setattr(banding, "WAITING", waiting)
+        got = np.arange(len(sets)) + 1000
+        for a, b in banding.similar(np.arange(len(sets)), sets):
+            got[a] = b + 1000
+        assert all((got[i] == got[j]) == (root[i] == root[j]) for i in range(len(sets)) for j in range(len(sets)))
