@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,10 @@ SKILL_NAMES, INDUSTRY_NAMES = "skill_abr string, skill_name string", "industry_i
 def read_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
     """The named columns of a CSV with a header, found by name whatever their order; quoted fields may span lines.
 
-    Other columns are not kept. Fields are read as text and cast, so a bad number is null.
+    Other columns are not kept. Fields are read as text and cast, so a bad number is null. A field without quotes and without
+    text is null, a quoted one is an empty text: no field can be the mark that stands for null while reading.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False, nullValue=uuid.uuid4().hex, emptyValue="")
     from pyspark.sql.types import StructType
 
     wanted = StructType.fromDDL(columns)
@@ -31,6 +34,7 @@ def read_processed(spark: SparkSession, path: str, columns: str, order: str) ->
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A header, quotes doubled inside fields; arrays are joined with ``|``."""
+    """A header, quotes doubled inside fields; arrays are joined with ``|``. White space at the ends of texts is kept,
+    and null is not an empty text. U+0000 is written, but Spark's CSV reader leaves it out of quoted fields."""
     flat = [F.array_join(F.col(c), "|").alias(c) if t.startswith("array<string") else F.col(c) for c, t in df.dtypes]
-    df.select(*flat).write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=True)
+    df.select(*flat).write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)

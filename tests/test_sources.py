@@ -68,6 +68,13 @@ def test_csv_fields_may_span_lines_and_bad_numbers_are_null(spark, tmp_path):
     assert d.read_processed(spark, path, d.POSTINGS, "title").where(F.col(c.POSITION) == 1).first().title == "U"
 
 
+def test_csv_keeps_ends_of_texts_and_tells_empty_from_null(spark, tmp_path):
+    odd = [None, "", " ", "\n", " a", "a ", "\ta", "a\n", "\r\na\r", "\x1fa", '"', '""', ' "a" ', "a,b", "\\", '\\"', "\\N", "null", "#a", "\ufeffa", "x" * 3000000 + '"\n']
+    df = spark.createDataFrame([(i, x, x) for i, x in enumerate(odd)], "job_id long, title string, description string")
+    d.write_csv(df, str(tmp_path / "odd"))
+    assert sorted(map(tuple, d.read_csv(spark, str(tmp_path / "odd"), d.POSTINGS).collect())) == [(i, x, x) for i, x in enumerate(odd)]
+
+
 def test_the_two_corpora(spark, tmp_path):
     postings = d.read_csv(spark, csv(tmp_path / "a.csv", "job_id,title,description\n1,Data Scientist!,Python at http://x.y\n2,Clerk,retail\n"), d.POSTINGS)
     links = d.read_csv(spark, csv(tmp_path / "b.csv", "job_id,skill_abr\n1,IT\n1,ENG\n"), d.SKILL_LINKS)
