@@ -127,3 +127,22 @@ def test_profiles_of_an_empty_table(spark):
 def test_nan_counts_as_missing(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "v double")
     assert p.missingness(df).first().n_missing == 2
+
+
+@pytest.mark.parametrize("cosine", [True, False])
+def test_vector_search_is_the_column_expression_whatever_the_vectors(spark, cosine):
+    r = np.random.default_rng(5)
+    odd = [None, [], [math.nan] * 4, [None] * 4, [1.0] * 5, [math.inf] * 4, [0.0] * 4, [5e-7, 0.0, 0.0, 0.0], [1.0, 0.0, 0.0, 0.0]]
+    rows = [(i, odd[i % 40] if i % 40 < len(odd) else [float(x) for x in r.choice([-1.0, 0.0, 0.5, 1.0], 4)]) for i in r.permutation(300).tolist()]
+    df = spark.createDataFrame(rows, "k long, v array<float>").repartition(3).cache()
+    got = sorted(map(repr, s.vector_top_n(df, df.where("k % 7 = 0"), "k", "v", 5, cosine, block=20).collect()))
+    a, b = F.col("v"), F.col("q")
+    scored = df.crossJoin(df.where("k % 7 = 0").select(F.col("k").alias("query_id"), F.col("v").alias("q"))).where("k <> query_id")
+    scored = scored.withColumn("sim_score", F.round(vectors.cosine(a, b) if cosine else vectors.dot(a, b), 6))
+    assert got == sorted(map(repr, s.ranked(scored, "query_id", "sim_score", "k", 5).select("query_id", "rank", "k", "sim_score").collect()))
+
+
+def test_vector_search_scores_no_pair_by_an_expression_when_vectors_are_even(spark):
+    df = spark.range(400).select(F.col("id").alias("k"), F.array(F.sin("id"), F.cos(F.col("id") * 2), F.lit(0.5)).alias("v"))
+    plan = s.vector_top_n(df, df.where("k % 4 = 0"), "k", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
