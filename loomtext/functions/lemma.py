@@ -6,17 +6,19 @@ others takes off regular plural and verb endings, knowing no parts of speech.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import words
-
 TOKEN_TYPE = "struct<text:string,lemma:string,is_alpha:boolean,is_stop:boolean>"
 DOC_TYPE = f"array<{TOKEN_TYPE}>"
+COUNTED_TYPE = "struct<terms:string,lemmas:string,n_tokens:int>"
 RESULT_TYPE = f"struct<terms:string,lemmas:string,tokens:{DOC_TYPE}>"
 #: Irregular English forms by lemma.
 IRREGULAR: Mapping[str, str] = {
@@ -37,8 +39,10 @@ ENDINGS: tuple[tuple[str, str], ...] = (
     (r"([a-z][aeiouy][a-z]*?)(bb|dd|gg|ll|mm|nn|pp|rr|tt)(?:ing|ed)$", r"\1\2"),
     (r"([a-z]*[aeiouy][a-z]*[a-z])(?:ing|ed)$", r"\1"),
 )
-#: The word table is kept as a map literal up to this many entries.
+#: A lexicon goes to the workers with the function up to this many entries.
 MOST_ENTRIES = 10_000
+#: Words that a worker keeps with their lemmas; others are worked out whenever they occur.
+MOST_KEPT = 500_000
 
 
 def stop_words(spark: SparkSession) -> list[str]:
@@ -47,25 +51,53 @@ def stop_words(spark: SparkSession) -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def without_ending(word: Column, endings: Sequence[tuple[str, str]] = ENDINGS) -> Column:
-    """A word with the first of the ``endings`` that fits replaced."""
-    out = word
-    for pattern, by in reversed(endings):
-        out = F.when(word.rlike(pattern), F.regexp_replace(word, pattern, by.replace("\\", "$"))).otherwise(out)
-    return out
+class Known(dict[str, tuple[str, bool, bool]]):
+    """(lemma, is_alpha, is_stop) by word, worked out when a word is first asked for and kept for up to ``MOST_KEPT`` words."""
+
+    def __init__(self, stops: Sequence[str], lexicon: Mapping[str, str], endings: Sequence[tuple[str, str]]) -> None:
+        super().__init__()
+        self.stops, self.lexicon = frozenset(stops), lexicon
+        self.endings = [(re.compile(pattern), by) for pattern, by in endings]
+
+    def __missing__(self, word: str) -> tuple[str, bool, bool]:
+        lemma = self.lexicon.get(word)
+        if lemma is None:
+            lemma = next((pattern.sub(by, word) for pattern, by in self.endings if pattern.search(word)), word)
+        found = (lemma, word.isalpha(), word in self.stops)
+        if len(self) < MOST_KEPT:
+            self[word] = found
+        return found
 
 
-def dictionary_lemmas(text: Column, stops: list[str], lexicon: Mapping[str, str] = IRREGULAR, endings: Sequence[tuple[str, str]] = ENDINGS) -> Column:
-    """(terms, lemmas, tokens) of a text without leaving the JVM: each word looked up in ``lexicon``, else without its ending."""
+def dictionary_lemmas(text: Column, stops: list[str], lexicon: Mapping[str, str] = IRREGULAR, endings: Sequence[tuple[str, str]] = ENDINGS, counted: bool = False) -> Column:
+    """(terms, lemmas, tokens) of a text: each word looked up in ``lexicon``, else without the first of the ``endings`` that fits.
+
+    A lemma depends on its word alone, so each worker works it out once a word. White space and letters are what ``words``
+    and ``\\p{L}`` mean. With ``counted`` the tokens are only counted: (terms, lemmas, n_tokens).
+    """
     if len(lexicon) > MOST_ENTRIES:
         raise ValueError(f"a lexicon of more than {MOST_ENTRIES} entries needs a lemmatizer UDF")
-    table = F.create_map(*[F.lit(x) for kv in lexicon.items() for x in kv]) if lexicon else F.expr("CAST(map() AS map<string, string>)")
-    listed = F.array(*[F.lit(s) for s in stops]) if stops else F.array().cast("array<string>")
-
-    def token(w: Column) -> Column:
-        return F.struct(w.alias("text"), F.coalesce(F.try_element_at(table, w), without_ending(w, endings)).alias("lemma"), w.rlike(r"^\p{L}+$").alias("is_alpha"), F.array_contains(listed, w).alias("is_stop"))
 
-    return assembled(F.transform(words(text), token))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Known(stops, lexicon, endings)
+        for texts in batches:
+            listed = [(x or "").split() for x in texts.to_pylist()]
+            found = [[known[w] for w in ws] for ws in listed]
+            terms = [" ".join([w for w, k in zip(ws, ks, strict=True) if k[1]]) for ws, ks in zip(listed, found, strict=True)]
+            lemmas = [" ".join([k[0] for k in ks if k[1] and not k[2]]) for ks in found]
+            last = pa.array([len(ws) for ws in listed], type=pa.int32()) if counted else token_lists(listed, found)
+            yield pa.StructArray.from_arrays([pa.array(terms, type=pa.string()), pa.array(lemmas, type=pa.string()), last], names=["terms", "lemmas", "n_tokens" if counted else "tokens"])
+
+    return F.arrow_udf(run, COUNTED_TYPE if counted else RESULT_TYPE)(text)
+
+
+def token_lists(listed: list[list[str]], found: list[list[tuple[str, bool, bool]]]) -> pa.ListArray:
+    """Words and what is known of them as a list of token structs a text."""
+    flat = [k for ks in found for k in ks]
+    kinds = (pa.string(), pa.string(), pa.bool_(), pa.bool_())
+    columns = [[w for ws in listed for w in ws], *([k[i] for k in flat] for i in range(3))]
+    tokens = pa.StructArray.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["text", "lemma", "is_alpha", "is_stop"])
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(len(ws) for ws in listed)], type=pa.int32()), tokens)
 
 
 def assembled(tokens: Column) -> Column:

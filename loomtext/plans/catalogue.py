@@ -426,8 +426,8 @@ def q_lemma(w: str) -> str:
 @query(f"""WITH {D_CLEAN}, u AS (SELECT DISTINCT unnest(ws) AS word FROM w), m AS (SELECT map_from_entries(list((word, {q_lemma('word')}))) AS t FROM u), k AS (SELECT doc_id, ws, list_transform(ws, lambda v: t[v]) AS ls FROM w, m)
 SELECT doc_id, array_to_string(ws, ' ') AS terms, array_to_string(list_transform(list_filter(list_zip(ws, ls), lambda z: NOT list_contains(['the', 'of', 'and', 'is'], z[1])), lambda z: z[2]), ' ') AS lemmas, CAST(len(ws) AS BIGINT) AS n_tokens FROM k""")
 def lemmatize(spark, sf):
-    found = lemma.dictionary_lemmas(F.col("desc_clean"), ["the", "of", "and", "is"])
-    return cleaned(spark, sf, "doc_id").withColumn("l", found).select("doc_id", "l.terms", "l.lemmas", F.size("l.tokens").cast("long").alias("n_tokens"))
+    found = lemma.dictionary_lemmas(F.col("desc_clean"), ["the", "of", "and", "is"], counted=True)
+    return cleaned(spark, sf, "doc_id").withColumn("l", found).select("doc_id", "l.terms", "l.lemmas", F.col("l.n_tokens").cast("long").alias("n_tokens"))
 
 
 STOPS = ("the", "of", "and", "is", "la", "und", "der", "que")

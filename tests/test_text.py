@@ -93,3 +93,28 @@ def test_preprocess_needs_a_cleaner_and_makes_what_is_asked(spark):
 
 def test_report_is_a_constant(spark):
     assert one(spark, None, t.report) == one(spark, "x", t.report) == "report not available"
+
+
+def test_lemmas_are_those_of_the_column_expressions(spark):
+    words = [*lemma.IRREGULAR, "glasses", "buses", "studies", "boxes", "cats", "running", "tried", "agreed", "sing", "ss", "x", "dog7", "é́", "ñandús", "naïve", "ⅷ", "ʰ", "二"]
+    gaps = [" ", " ", "\x85", "\x1c", "\x0b", "　", "\t ", "\n"]
+    text = "".join(w + gaps[i % len(gaps)] for i, w in enumerate(words))
+    word = F.col("w")
+    known = F.create_map(*[F.lit(x) for kv in lemma.IRREGULAR.items() for x in kv])
+    plain = word
+    for pattern, by in reversed(lemma.ENDINGS):
+        plain = F.when(word.rlike(pattern), F.regexp_replace(word, pattern, by.replace("\\", "$"))).otherwise(plain)
+    df = spark.createDataFrame([(text,)], "x string")
+    want = df.select(F.posexplode(t.words(F.col("x"))).alias("i", "w")).select("i", word, F.coalesce(F.try_element_at(known, word), plain).alias("l"), word.rlike(r"^\p{L}+$").alias("a"), word.isin("is", "cats").alias("s"))
+    want = [tuple(x)[1:] for x in want.orderBy("i").collect()]
+    got = one(spark, text, lambda c: lemma.dictionary_lemmas(c, ["is", "cats"]))
+    assert [tuple(x) for x in got.tokens] == want
+    counted = one(spark, text, lambda c: lemma.dictionary_lemmas(c, ["is", "cats"], counted=True))
+    assert (counted.terms, counted.lemmas, counted.n_tokens) == (got.terms, got.lemmas, len(want))
+
+
+def test_lemmas_of_many_words_are_right_when_few_are_kept(monkeypatch):
+    monkeypatch.setattr(lemma, "MOST_KEPT", 2)
+    known = lemma.Known(["is"], lemma.IRREGULAR, lemma.ENDINGS)
+    assert [known[w] for w in ("cats", "is", "dogs", "went", "dogs")] == [("cat", True, False), ("be", True, True), ("dog", True, False), ("go", True, False), ("dog", True, False)]
+    assert len(known) == 2
