@@ -45,16 +45,29 @@ CATEGORIES: Mapping[str, tuple[str, ...]] = {
 def clean(text: Column) -> Column:
     """Lower case, links and mail addresses dropped, everything but a-z squeezed to single spaces; null is empty."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    for pattern in (LINK, _MAIL):
-        low = F.regexp_replace(low, pattern, "")
+    for pattern, marks in ((LINK, ("http", "www")), (_MAIL, ("@",))):
+        low = _without(low, pattern, marks)
     return F.trim(F.regexp_replace(low, "[^a-z]++", " "))
 
 
+def _without(text: Column, pattern: str, marks: Sequence[str]) -> Column:
+    """``text`` without the matches of ``pattern``, which is tried only where one of the ``marks``, that every match holds, occurs.
+
+    The text is bound to a lambda's variable, so that it is worked out once.
+    """
+    return F.transform(F.array(text), lambda x: F.when(_any([F.contains(x, F.lit(m)) for m in marks]), F.regexp_replace(x, pattern, "")).otherwise(x))[0]
+
+
 def words(text: Column) -> Column:
     """The runs between Unicode white space; null and empty give an empty array."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
+def long_words(text: Column) -> Column:
+    """The words of two and more characters."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^{GAP}]{{2,}}+"), F.lit(0))
+
+
 def joined(parts: Column) -> Column:
     """An array as one string with single spaces."""
     return F.array_join(parts, " ")

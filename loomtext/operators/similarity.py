@@ -89,7 +89,7 @@ def tfidf_top_n(items: DataFrame, queries: DataFrame, key: str, query_key: str,
     postings then stay where they are, products are summed there and only each partition's best go on.
     """
     own = dealt(items, key, text)
-    vocab = vocabulary(own, key, text, size, min_df, longest, clean)
+    vocab = checkpointed(vocabulary(own, key, text, size, min_df, longest, clean))
     docs = items.agg(F.count(F.lit(1)).alias("__docs"))
     ours = weighed(term_counts(own, key, text, vocab, longest, clean).crossJoin(F.broadcast(docs)), key, F.col("__docs"))
     theirs = weighed(term_counts(dealt(queries, query_key, text), query_key, text, vocab, longest, clean).crossJoin(F.broadcast(docs)), query_key, F.col("__docs"))

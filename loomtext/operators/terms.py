@@ -1,7 +1,8 @@
 """Term statistics, TF-IDF weights and vocabulary overlap.
 
-For what is counted per document the texts are dealt by key once, before they are cleaned; all counts, norms and sums per
-document then stay in their partition, and postings are never shuffled but by term, after they are summed.
+For what is counted per document the texts are dealt by key once, before they are cleaned, to as many partitions as their
+bytes need; all counts, norms and sums per document then stay in their partition, and postings are never shuffled but by term,
+after they are summed. Pairs of words are counted only where both words are frequent enough for their pair to be wanted.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import words
-from ..session import checkpointed
+from ..functions.text import long_words, words
+from ..session import MOST_BROADCAST, checkpointed, small_side
 
 SIZE, MIN_DF = 5000, 2
-
+#: Bytes of text that a partition of dealt documents has, about. The counts of its terms take some 80 times that.
+PART = 4 << 20
 
 Clean = Callable[[Column], Column]
 
@@ -26,7 +28,15 @@ def as_it_is(text: Column) -> Column:
 
 def tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """One row a word: ``keys`` and ``term``."""
-    return df.select(*keys, F.explode(words(F.col(text))).alias("term"))
+    return listed(df.select(*keys, words(F.col(text)).alias("__own")), keys)
+
+
+def listed(own: DataFrame, keys: list[str]) -> DataFrame:
+    """One row an entry of ``__own``, which holds no nulls.
+
+    Outer, because for an inner one the optimizer adds a filter on the array's size, below the exchange: a text would be cleaned and split twice.
+    """
+    return own.select(*keys, F.explode_outer("__own").alias("term")).where("term IS NOT NULL")
 
 
 def terms_of(df: DataFrame, keys: list[str], text: Column, longest: int = 2) -> DataFrame:
@@ -34,12 +44,30 @@ def terms_of(df: DataFrame, keys: list[str], text: Column, longest: int = 2) ->
 
     The words are a column of their own first, so that a text is split once.
     """
-    own = df.select(*keys, F.filter(words(text), lambda w: F.char_length(w) >= 2).alias("__own"))
+    own = df.select(*keys, long_words(text).alias("__own"))
     if longest < 2:
-        return own.select(*keys, F.explode("__own").alias("term"))
+        return listed(own, keys)
     n = F.greatest(F.size("__own") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("__own", F.lit(1), n), F.slice("__own", F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
-    return own.select(*keys, F.explode(F.concat("__own", pairs)).alias("term"))
+    return listed(own.select(*keys, F.concat("__own", pairs).alias("__own")), keys)
+
+
+def pairs_of(df: DataFrame, keys: list[str], text: Column, frequent: DataFrame, by: list[str]) -> DataFrame:
+    """One row a pair of neighbouring words: ``keys`` and ``term``, if both words are in ``frequent`` (``by`` and ``__word``).
+
+    A pair is no more frequent than either of its words, so those left out are known to be rarer than the words left out.
+    Outer for the same reason as ``listed``.
+    """
+    own = df.select(*keys, long_words(text).alias("__own"))
+    n = F.greatest(F.size("__own") - 1, F.lit(0))
+    out = own.select(*keys, F.inline_outer(F.arrays_zip(F.slice("__own", F.lit(1), n).alias("__a"), F.slice("__own", F.lit(2), n).alias("__b"))))
+    out = out.toDF(*keys, "__a", "__b")
+    for side in ("__a", "__b"):
+        same = F.col(side) == F.col("__word")
+        for k in by:
+            same = same & F.col(k).eqNullSafe(F.col(f"__by_{k}"))
+        out = out.join(frequent.select(*[F.col(k).alias(f"__by_{k}") for k in by], "__word"), same, "left_semi")
+    return out.select(*keys, F.concat_ws(" ", "__a", "__b").alias("term"))
 
 
 def word_frequency(df: DataFrame, text: str, n: int = 10) -> DataFrame:
@@ -51,18 +79,27 @@ def word_frequency(df: DataFrame, text: str, n: int = 10) -> DataFrame:
 def term_weights(df: DataFrame, group: str, text: str, n: int = 20, stops: tuple[str, ...] = (), longest: int = 1, plurals: bool = False) -> DataFrame:
     """Per group the ``n`` most frequent terms and their counts relative to the first: what a word cloud draws.
 
-    With ``plurals`` a term that ends in one s counts for the term without it, where the group has that too.
+    With ``plurals`` a term that ends in one s counts for the term without it, where the group has that too. Without, pairs are
+    counted only of words that are, in the group, as frequent as its ``n``-th word: the others' pairs cannot be among the first ``n``.
     """
-    terms = terms_of(df, [group], F.col(text), longest)
-    if stops:
-        terms = terms.where(~F.col("term").isin(*stops))
-    counts = terms.groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
+    def counted(terms: DataFrame) -> DataFrame:
+        return terms.groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
+
+    wanted = ~F.col("term").isin(*stops) if stops else F.lit(True)
+    own = W.partitionBy(group).orderBy(F.col("n").desc(), "term")
+    if longest < 2 or plurals:
+        counts = counted(terms_of(df, [group], F.col(text), longest).where(wanted))
+    else:
+        every = checkpointed(counted(terms_of(df, [group], F.col(text), 1)))
+        least = every.where(wanted).withColumn("r", F.row_number().over(own)).where(F.col("r") == n).select(F.col(group).alias("__g"), F.col("n").alias("__least"))
+        frequent = every.join(least, F.col(group).eqNullSafe(F.col("__g")), "left").where(F.col("n") >= F.coalesce("__least", F.lit(0)))
+        pairs = pairs_of(df, [group], F.col(text), small_side(frequent.select(group, F.col("term").alias("__word"))), [group])
+        counts = every.where(wanted).unionByName(counted(pairs.where(wanted)))
     if plurals:
         bare = F.when(F.col("term").rlike("[^s]s$"), F.expr("left(term, char_length(term) - 1)"))
         one = counts.select(F.col(group).alias("__g"), F.col("term").alias("__one"))
         told = counts.withColumn("__bare", bare).join(one, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__bare") == F.col("__one")), "left")
         counts = told.groupBy(group, F.coalesce("__one", "term").alias("term")).agg(F.sum("n").alias("n"))
-    own = W.partitionBy(group).orderBy(F.col("n").desc(), "term")
     ranked = counts.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= n)
     top = F.max("n").over(W.partitionBy(group))
     return ranked.select(group, "rank", "term", "n", (F.col("n").cast("double") / top.cast("double")).alias("weight"))
@@ -81,21 +118,52 @@ def signature_terms(df: DataFrame, group: str, text: str, n: int = 5, least: int
 
 
 def dealt(df: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, ``text`` and ``carry``, partitioned by key."""
-    return df.select(key, text, *carry).repartition(key)
+    """``key``, ``text`` and ``carry``, partitioned by key: a partition for every ``PART`` bytes of text, and no fewer than cores.
+
+    The number is given, because the engine would else join partitions until they are as large as it likes texts to be,
+    and the counts of their terms are many times larger.
+    """
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return df.select(key, text, *carry).repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PART)), key)
 
 
 def vocabulary(own: DataFrame, key: str, text: str, size: int = SIZE, min_df: int = MIN_DF, longest: int = 2, clean: Clean = as_it_is) -> DataFrame:
-    """(term, df, cf) of the ``size`` most frequent terms in ``min_df`` or more documents, ties by term; ``own`` is ``dealt``."""
-    per_doc = terms_of(own, [key], clean(F.col(text)), longest).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    terms = per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df)
-    return terms.orderBy(F.col("cf").desc(), "term").limit(size)
+    """(term, df, cf) of the ``size`` most frequent terms in ``min_df`` or more documents, ties by term; ``own`` is ``dealt``.
+
+    If there are ``size`` words, the least frequent of them bounds the vocabulary's terms from below, and so the words of its pairs.
+    """
+
+    def counted(every: DataFrame) -> DataFrame:
+        per_doc = every.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+        return per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df)
+
+    first = (F.col("cf").desc(), "term")
+    text_of = clean(F.col(text))
+    terms = counted(terms_of(own, [key], text_of, 1))
+    if longest < 2:
+        return terms.orderBy(*first).limit(size)
+    terms = checkpointed(terms)
+    least = terms.orderBy(*first).limit(size).agg(F.count(F.lit(1)).alias("n"), F.min("cf").alias("cf")).first()
+    frequent = terms.where(F.col("cf") >= (least["cf"] if least["n"] == size else 0)).select(F.col("term").alias("__word"))
+    few = frequent.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    pairs = counted(pairs_of(own, [key], text_of, F.broadcast(frequent) if few else frequent, []))
+    return terms.unionByName(pairs).orderBy(*first).limit(size)
 
 
 def term_counts(own: DataFrame, key: str, text: str, vocab: DataFrame, longest: int = 2, clean: Clean = as_it_is, carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, carry, term, tf, df) over the vocabulary (at most its ``size`` rows, broadcast before the counts are made)."""
-    every = terms_of(own, [key, *carry], clean(F.col(text)), longest)
-    return every.join(F.broadcast(vocab.select("term", "df")), "term").groupBy(key, *carry, "term", "df").agg(F.count(F.lit(1)).alias("tf"))
+    if longest < 2:
+        found = terms_of(own, [key, *carry], clean(F.col(text)), 1).join(F.broadcast(vocab.select("term", "df")), "term")
+    else:  # words and pairs meet the vocabulary in two columns, so that no pair is put together that is not in it
+        listed_words = own.select(key, *carry, long_words(clean(F.col(text))).alias("__own"))
+        n = F.greatest(F.size("__own") - 1, F.lit(0))
+        one = F.arrays_zip(F.col("__own").alias("__a"), F.slice("__own", F.lit(1), F.lit(0)).alias("__b"))
+        two = F.arrays_zip(F.slice("__own", F.lit(1), n).alias("__a"), F.slice("__own", F.lit(2), n).alias("__b"))
+        every = listed_words.select(key, *carry, F.inline_outer(F.concat(one, two))).toDF(key, *carry, "__a", "__b")
+        parts = F.split("term", " ")
+        known = vocab.select("term", "df", parts[0].alias("__va"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("__vb"))
+        found = every.join(F.broadcast(known), (F.col("__a") == F.col("__va")) & (F.coalesce("__b", F.lit("")) == F.col("__vb")))
+    return found.groupBy(key, *carry, "term", "df").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def weighed(counts: DataFrame, key: str, n_docs: Column, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -146,3 +146,58 @@ def test_vector_search_scores_no_pair_by_an_expression_when_vectors_are_even(spa
     df = spark.range(400).select(F.col("id").alias("k"), F.array(F.sin("id"), F.cos(F.col("id") * 2), F.lit(0.5)).alias("v"))
     plan = s.vector_top_n(df, df.where("k % 4 = 0"), "k", "v")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_documents_are_dealt_by_the_bytes_of_their_texts(spark, monkeypatch):
+    monkeypatch.setattr(terms, "PART", 1000)
+    df = spark.range(300).select(F.col("id").alias("k"), F.lit("ab " * 50).alias("t"))
+    out = terms.tfidf(df, "k", "t")
+    assert terms.dealt(df, "k", "t").rdd.getNumPartitions() == 45
+    assert out.count() == 600 and out.rdd.getNumPartitions() == 45  # the engine does not join them again
+    assert terms.dealt(df.limit(0), "k", "t").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def zipf_texts(seed: int, n: int = 60) -> list[str]:
+    r = np.random.default_rng(seed)
+    return [" ".join(f"w{min(int(x), 40)}" for x in r.zipf(1.5, size=r.integers(0, 30))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("size", [1, 5, 20, 30, 60, 500])
+def test_vocabulary_with_pairs_by_brute_force(spark, size):
+    from collections import Counter
+
+    rows = [(i // 2, x) for i, x in enumerate(zipf_texts(size))] + [(None, "w1 w2 w1 w2"), (7, None)]
+    df, cf = Counter(), Counter()
+    for k in {k for k, _ in rows}:
+        own = Counter()
+        for _, x in (row for row in rows if row[0] == k and row[1]):
+            ws = x.split()
+            own.update(ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])])
+        df.update(own.keys())
+        cf.update(own)
+    want = sorted(((t, df[t], n) for t, n in cf.items() if df[t] >= 2), key=lambda x: (-x[2], x[0]))[:size]
+    docs = spark.createDataFrame(rows, "k long, t string")
+    assert list(map(tuple, terms.vocabulary(terms.dealt(docs, "k", "t"), "k", "t", size).collect())) == want
+
+
+@pytest.mark.parametrize("n", [1, 3, 10, 200])
+def test_clouds_with_pairs_by_brute_force(spark, n):
+    from collections import Counter
+
+    rows = [(g, x) for g in ("a", "b", None) for x in zipf_texts(n + ord(g or "c"))] + [("few", "w1 w1 w2"), ("none", "x")]
+    want = set()
+    for g in ("a", "b", "few", None):
+        own = Counter()
+        for _, x in (row for row in rows if row[0] == g):
+            ws = [w for w in x.split() if len(w) > 1]
+            own.update(t for t in ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])] if t not in ("w1", "w1 w2"))
+        best = sorted(own.items(), key=lambda x: (-x[1], x[0]))[:n]
+        want |= {(g, i + 1, t, c, c / best[0][1]) for i, (t, c) in enumerate(best)}
+    got = terms.term_weights(spark.createDataFrame(rows, "g string, t string"), "g", "t", n, ("w1", "w1 w2"), longest=2).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_pairs_of_rare_words_are_not_counted(spark):
+    df = spark.createDataFrame([(k, f"aa bb aa bb rare{k % 3} rarer{k % 5}") for k in range(30)], "k long, t string")
+    few = spark.createDataFrame([("aa",), ("bb",)], "__word string")
+    assert {x.term for x in terms.pairs_of(df, ["k"], F.col("t"), few, []).collect()} == {"aa bb", "bb aa"}
