@@ -43,6 +43,8 @@ ENDINGS: tuple[tuple[str, str], ...] = (
 MOST_ENTRIES = 10_000
 #: Words that a worker keeps with their lemmas; others are worked out whenever they occur.
 MOST_KEPT = 500_000
+#: Texts that are split at a time, so that the words of a whole batch are never held as objects.
+ROWS = 256
 
 
 def stop_words(spark: SparkSession) -> list[str]:
@@ -81,12 +83,14 @@ def dictionary_lemmas(text: Column, stops: list[str], lexicon: Mapping[str, str]
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Known(stops, lexicon, endings)
         for texts in batches:
-            listed = [(x or "").split() for x in texts.to_pylist()]
-            found = [[known[w] for w in ws] for ws in listed]
-            terms = [" ".join([w for w, k in zip(ws, ks, strict=True) if k[1]]) for ws, ks in zip(listed, found, strict=True)]
-            lemmas = [" ".join([k[0] for k in ks if k[1] and not k[2]]) for ks in found]
-            last = pa.array([len(ws) for ws in listed], type=pa.int32()) if counted else token_lists(listed, found)
-            yield pa.StructArray.from_arrays([pa.array(terms, type=pa.string()), pa.array(lemmas, type=pa.string()), last], names=["terms", "lemmas", "n_tokens" if counted else "tokens"])
+            terms, lemmas, last = [], [], []
+            for at in range(0, max(1, len(texts)), ROWS):
+                listed = [(x or "").split() for x in texts.slice(at, ROWS).to_pylist()]
+                found = [[known[w] for w in ws] for ws in listed]
+                terms += [" ".join([w for w, k in zip(ws, ks, strict=True) if k[1]]) for ws, ks in zip(listed, found, strict=True)]
+                lemmas += [" ".join([k[0] for k in ks if k[1] and not k[2]]) for ks in found]
+                last.append(pa.array([len(ws) for ws in listed], type=pa.int32()) if counted else token_lists(listed, found))
+            yield pa.StructArray.from_arrays([pa.array(terms, type=pa.string()), pa.array(lemmas, type=pa.string()), pa.concat_arrays(last)], names=["terms", "lemmas", "n_tokens" if counted else "tokens"])
 
     return F.arrow_udf(run, COUNTED_TYPE if counted else RESULT_TYPE)(text)
 

@@ -118,3 +118,11 @@ def test_lemmas_of_many_words_are_right_when_few_are_kept(monkeypatch):
     known = lemma.Known(["is"], lemma.IRREGULAR, lemma.ENDINGS)
     assert [known[w] for w in ("cats", "is", "dogs", "went", "dogs")] == [("cat", True, False), ("be", True, True), ("dog", True, False), ("go", True, False), ("dog", True, False)]
     assert len(known) == 2
+
+
+def test_lemmas_of_more_texts_than_are_split_at_a_time(spark):
+    df = spark.range(700).repartition(1).select("id", F.when(F.col("id") % 5 > 0, F.concat(F.lit("cats "), "id")).alias("x"))
+    got = df.select("id", lemma.dictionary_lemmas(F.col("x"), []).alias("l")).collect()
+    assert len(got) == 700
+    for x in got:
+        assert [k.text for k in x.l.tokens] == (["cats", str(x.id)] if x.id % 5 else []) and x.l.lemmas == ("cat" if x.id % 5 else "")
